@@ -9,7 +9,9 @@ is a Parquet table of such payloads in ascending doc_id order, part by part.
 
 from __future__ import annotations
 
+import gc
 import zlib
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,6 +23,9 @@ from .common import partitions, scratch_path, small_batches, written
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2], np.int64)
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30], np.int64)
 ESCAPE, BLOCK = 15, 240
+_BITS = np.array([k.bit_length() for k in range(65536)], np.int8)
+#: Fixed value: where the byte-level pre-tokenizer cuts.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of text whose ids a worker remembers.
 REMEMBER = 600_000
 
@@ -33,10 +38,10 @@ def _fit(ids: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     more, so the last word is padded with zeros.
     """
     n = len(ids)
-    need = np.zeros(n, np.int8)
-    for w in np.unique(WIDTHS[2:]):
-        need[ids >= (np.uint64(1) << np.uint64(w))] = w + 1  # bits above w
-    need[(ids > 0) & (need == 0)] = 1
+    need = _BITS[np.minimum(ids, np.uint64(65535)).astype(np.int64)]
+    large = np.flatnonzero(ids > np.uint64(65535))
+    need[large] = [int(x).bit_length() for x in ids[large]]
+    left = left.astype(np.int16)
     selector, takes, top = np.full(n, ESCAPE, np.int8), np.ones(n, np.int64), need.copy()
     reach = 1  # top[i] is the largest need of `reach` ids from i, or to the block's end
     runs = {}
@@ -45,8 +50,8 @@ def _fit(ids: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while reach < c:
             step = min(reach, c - reach)
             ahead = np.zeros_like(top)
-            ahead[: n - step] = top[step:]
-            ahead[left <= step] = 0
+            ahead[: max(0, n - step)] = top[step:]
+            ahead *= left > step
             top = np.maximum(top, ahead)
             reach += step
         runs[c] = top.copy() if c < wanted[-1] else top
@@ -146,27 +151,45 @@ class _Pieces(dict):
         return number
 
 
+def _letter(byte: int) -> str:
+    """The visible character by which byte-level vocabularies write a byte above 127."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+    return chr(256 + hidden.index(byte)) if byte in hidden else chr(byte)
+
+
 class PieceEncoder:
     """The tokenizer over pieces that it never joins, each encoded once.
 
     A space between two characters that are not white space is where the byte-level
     pre-tokenizer cuts, and the next piece begins with that space, so such pieces encode on their
-    own. Texts with other runs of white space that hold a space are encoded whole. What is remembered
-    is bounded; past the bound it is begun anew.
+    own. Texts with other runs of white space that hold a space are encoded whole. What is
+    remembered is bounded; past the bound the older half stays, which holds the frequent pieces.
     """
 
     def __init__(self, path: str):
         import re
 
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        self.cut, self.model = regex.compile(CUTS).findall, self.tokenizer.model.tokenize
+        byte = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {k: byte(chr(k))[-1][0][-1] for k in range(128)}
+        self.letters |= {k: _letter(k) for k in range(128, 256)}
         self.whole = re.compile(r"\s | \s|^ | $")
-        self.forget()
+        self.begin()
 
     def forget(self) -> None:
+        """Keep the older half of the pieces."""
+        keep = len(self.after) // 2
+        self.used = int(self.start[1][keep])
+        old, self.after, self.first = self.after, _Pieces(), _Pieces()
+        self.after.update(islice(old.items(), keep))
+        self.parts = dict(islice(self.parts.items(), REMEMBER // 4))
+
+    def begin(self) -> None:
         self.after, self.first, self.parts = _Pieces(), _Pieces(), {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start = [np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)]
@@ -174,19 +197,24 @@ class PieceEncoder:
 
     def _ids(self, piece: str) -> list[int]:
         parts, out = self.parts, []
-        for part, _ in self.cut(piece):
+        for part in self.cut(piece):
             got = parts.get(part)
             if got is None:
-                got = parts[part] = [t.id for t in self.model(part)]
+                plain = part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+                got = parts[part] = tuple([t.id for t in self.model(plain)])
             out += got
         return out
 
     def _learn(self, which: int, table: _Pieces, space: str) -> None:
         if not table.new:
             return
-        ids = [self._ids(space + p) for p in table.new]
+        gc.disable()  # many small objects that all stay: nothing to collect meanwhile
+        try:
+            ids = [self._ids(space + p) for p in table.new]
+        finally:
+            gc.enable()
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -310,7 +338,11 @@ def write_ids(docs: DataFrame, tokenizer: str, out: str, end: int = 0) -> None:
     and null ids (first) stay, in any order among themselves. An empty table makes an empty dataset.
     """
     spark = docs.sparkSession
-    coded = encoded(docs, tokenizer, end).repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    n = partitions(spark)
+    # the ranges come from the ids alone, so that texts are encoded once and not for a sample as well
+    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
+    coded = encoded(docs, tokenizer, end).repartitionById(n, F.greatest(part, F.lit(0))).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     coded.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).write.parquet(out)
 
 
