@@ -24,6 +24,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import held_out, scored
+
+    docs = scored(_documents(spark, sf_dir).select("doc_id", "text"), _labels(spark, sf_dir))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import held_out
+    from .toxicity import scored
+
+    docs = scored(_documents(spark, sf_dir), _labels(spark, sf_dir))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_pred").alias("predicted"), "n_offending", "worst_start", "worst_end")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
@@ -37,7 +56,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_ids, op6_simhash, op8_mixing, op10_embeddings)}
+QUERIES = {f.__name__: f for f in (op4_token_ids, op6_simhash, op7_quality, op8_mixing, op9_toxicity, op10_embeddings)}
 
 SQL = {
     "op8_mixing": r"""
