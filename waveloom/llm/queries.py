@@ -10,6 +10,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import joined, sanitised
+
+    found = sanitised(_documents(spark, sf_dir), texts=False)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_email"), count(1).alias("n_ip"), count(2).alias("n_card"), count(3).alias("n_phone"), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,7 +64,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_ids, op6_simhash, op7_quality, op8_mixing, op9_toxicity, op10_embeddings)}
+QUERIES = {f.__name__: f for f in (op1_pii, op4_token_ids, op6_simhash, op7_quality, op8_mixing, op9_toxicity, op10_embeddings)}
 
 SQL = {
     "op8_mixing": r"""
