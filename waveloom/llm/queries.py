@@ -18,6 +18,19 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_email"), count(1).alias("n_ip"), count(2).alias("n_card"), count(3).alias("n_phone"), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import matches
+
+    return matches(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scanned
+
+    docs = _documents(spark, sf_dir)
+    return scanned(docs.select("doc_id", F.concat_ws("/", "source", "lang").alias("path"), "text"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,6 +39,12 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import repeated
+
+    return repeated(_documents(spark, sf_dir)).drop("spans")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -64,7 +83,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_token_ids, op6_simhash, op7_quality, op8_mixing, op9_toxicity, op10_embeddings)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_licenses, op4_token_ids, op5_suffix, op6_simhash, op7_quality, op8_mixing, op9_toxicity, op10_embeddings)}
 
 SQL = {
     "op8_mixing": r"""
