@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_buffer, written
+from .common import small_batches, text_buffer
 from .words import mix, powers, prefix_sums, slice_hash
 
 LENGTH, GRAM = 50, 16
@@ -83,14 +83,23 @@ class Anchors:
         return np.r_[0, np.searchsorted(self.keys[:, 0], edges), len(self.keys)]
 
 
+def _narrow(doc: np.ndarray) -> np.ndarray:
+    """Document ids in four bytes where all of them fit, else in eight."""
+    return doc.astype("<u4" if not len(doc) or (doc.min() >= 0 and doc.max() < 1 << 32) else "<i8")
+
+
+def _wide(column, size: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, "<u4" if len(x) == 4 * n else "<i8").astype(np.int64) for x, n in zip(column.to_pylist(), size.tolist(), strict=True)])
+
+
 def _round2(t):
     """One range of ranks: entries whose pair an earlier document has (1), and those to look into further (2)."""
     import pyarrow as pa
 
     groups = t.column("g").to_numpy()
-    cols = [[np.frombuffer(x, d) for x in t.column(c).to_pylist()] for c, d in (("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"))]
-    size = np.array([len(x) for x in cols[0]])
-    gram, context, doc = (np.concatenate(x) for x in cols)
+    gram, context = ([np.frombuffer(x, "<u8") for x in t.column(c).to_pylist()] for c in ("gram", "context"))
+    size = np.array([len(x) for x in gram])
+    gram, context, doc = np.concatenate(gram), np.concatenate(context), _wide(t.column("doc"), size)
     row = np.repeat(np.arange(len(size)), size)
     number = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     order = np.lexsort((doc, context, gram))
@@ -118,9 +127,9 @@ def _round3(t):
     import pyarrow as pa
 
     groups = t.column("g").to_numpy()
-    cols = [[np.frombuffer(x, d) for x in t.column(c).to_pylist()] for c, d in (("string", "<u8"), ("doc", "<i8"))]
-    size = np.array([len(x) for x in cols[0]])
-    string, doc = (np.concatenate(x) for x in cols)
+    string = [np.frombuffer(x, "<u8") for x in t.column("string").to_pylist()]
+    size = np.array([len(x) for x in string])
+    string, doc = np.concatenate(string), _wide(t.column("doc"), size)
     row = np.repeat(np.arange(len(size)), size)
     number = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     order = np.lexsort((doc, string))
@@ -186,7 +195,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
     def round1(t):
         t, a = anchors_of(t)
         begin = a.split(ranges)
-        doc = a.doc_id[a.doc[a.holder]].astype("<i8") if len(a.keys) else np.zeros(0, "<i8")
+        doc = _narrow(a.doc_id[a.doc[a.holder]]) if len(a.keys) else np.zeros(0, "<u4")
         some = [k for k in range(ranges) if begin[k + 1] > begin[k]]
         cut = lambda x: pa.array([x[begin[k] : begin[k + 1]].tobytes() for k in some], pa.binary())
         return pa.table({"g": pa.array([t.column("g")[0].as_py()] * len(some), pa.int64()), "k": pa.array(some, pa.int32()), "gram": cut(a.keys[:, 0]), "context": cut(a.keys[:, 1]), "doc": cut(doc)})
@@ -197,7 +206,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
             return pa.table(empty)
         t, a = anchors_of(t)
         start, h, doc, fresh, begin = _open_strings(a, _states(a, told, ranges), ranges)
-        h, doc = h[fresh], doc[fresh].astype("<i8")
+        h, doc = h[fresh], _narrow(doc[fresh])
         some = [k for k in range(ranges) if begin[k + 1] > begin[k]]
         cut = lambda x: pa.array([x[begin[k] : begin[k + 1]].tobytes() for k in some], pa.binary())
         return pa.table({"g": pa.array([t.column("g")[0].as_py()] * len(some), pa.int64()), "k": pa.array(some, pa.int32()), "string": cut(h), "doc": cut(doc)})
@@ -250,9 +259,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
             out.append((d, int(hi - lo), int(g.sum()), len(turn) // 2, hashlib.sha256(a.data[lo:hi][~g].tobytes()).hexdigest(), [{"start": int(x), "end": int(y)} for x, y in zip(turn[::2], turn[1::2], strict=True)]))
         return pa.table({n: pa.array([r[k] for r in out], kind) for k, (n, kind) in enumerate(names.items())})
 
+    # one query, so that texts and entries are each dealt out once and every round reads them again
     entries = rows.groupBy("g").applyInArrow(round1, "g long, k int, gram binary, context binary, doc binary")
-    told2 = written(entries.groupBy("k").applyInArrow(_round2, "g long, k int, told binary"), "round2")
+    told2 = entries.groupBy("k").applyInArrow(_round2, "g long, k int, told binary")
     strings = rows.groupBy("g").cogroup(told2.groupBy("g")).applyInArrow(round3, "g long, k int, string binary, doc binary")
-    told3 = written(strings.groupBy("k").applyInArrow(_round3, "g long, k int, told binary"), "round3")
+    told3 = strings.groupBy("k").applyInArrow(_round3, "g long, k int, told binary")
     told = told2.withColumn("kind", F.lit(2)).union(told3.withColumn("kind", F.lit(3)))
     return rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(marked, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
