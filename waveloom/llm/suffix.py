@@ -8,8 +8,11 @@ sampled by content first, and the ranks grow from there:
 * Round 1 ranks anchors by their first `GRAM` bytes. Those that stay unique are done.
 * Round 2 ranks the pair (that rank, rank of the context): all strings of `length` bytes that
   have this anchor here, joined. Where the pair occurs in an earlier document, all of them repeat.
-* Round 3 ranks the single strings of `length` bytes of those pairs that are still unlike others
-  of the same first rank, and finds for each the first document that has it.
+* Round 3 takes the pairs that are still unlike others of the same first rank and ranks their
+  anchors by the bytes to the right and to the left, about twice `GRAM`: every string of `length`
+  bytes holds one of the two whole. A half that one document alone has is done.
+* Round 4 ranks the single strings of `length` bytes over the halves that are left, and finds for
+  each the first document that has it.
 
 A rank is the place of a 64-bit hash among those sorted in one range; what is sorted travels as
 packed columns, one row per group of documents and range, and equal entries of a group are one.
@@ -46,25 +49,17 @@ class Anchors:
                 inside[max(0, o - length + 1) : o] = False
             starts = np.flatnonzero(inside)
         if not len(starts):
-            self.first = self.last = self.doc = self.entry = np.zeros(0, np.int64)
+            self.first = self.last = self.doc = self.entry = self.anchor = self.holder = np.zeros(0, np.int64)
             self.keys = np.zeros((0, 2), np.uint64)
             return
-        _, down = powers(len(self.sums))
-        m = len(self.data) - gram + 1
-        at = np.arange(m, dtype=np.uint64)
-        low = np.uint64(len(self.data).bit_length())
-        least = (mix((self.sums[gram:] - self.sums[:m]) * down[:m]) >> low << low) | at  # the hash, then the place
-        span, reach = length - gram + 1, 1
-        while reach < span:
-            step = min(reach, span - reach)
-            least = np.minimum(least[: len(least) - step], least[step:])
-            reach += step
-        anchor = (least[starts] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+        self.low = np.uint64(len(self.data).bit_length())
+        least = self._least(length, gram)
+        anchor = (least[starts] & ((np.uint64(1) << self.low) - np.uint64(1))).astype(np.int64)
         new = np.ones(len(starts), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
         head = np.flatnonzero(new)
         self.first, self.last = starts[head], starts[np.r_[head[1:], len(starts)] - 1]  # first and last string of each anchor
-        anchor = anchor[head]
+        self.anchor = anchor = anchor[head]
         self.doc = np.searchsorted(self.offsets, self.first, "right") - 1
         gramh = slice_hash(self.sums, anchor, anchor + gram)
         context = mix(slice_hash(self.sums, self.first, self.last + length) ^ mix((anchor - self.first).astype(np.uint64)))
@@ -76,11 +71,37 @@ class Anchors:
         self.keys = np.stack([a[fresh], b[fresh]], 1)
         self.holder = order[fresh]  # an anchor of each entry in its first document
 
+    def _least(self, length: int, gram: int, block: int = 1 << 15) -> np.ndarray:
+        """For each string the least of its grams: the hash above, the place below, so equal hashes give the first.
+
+        Worked out block by block, so that what is read again is still in the cache.
+        """
+        _, down = powers(len(self.sums))
+        span, n = length - gram + 1, len(self.data) - length + 1
+        out = np.empty(n, np.uint64)
+        for lo in range(0, n, block):
+            hi = min(n, lo + block)
+            m = hi - lo + span - 1
+            x = self.sums[lo + gram : lo + gram + m] - self.sums[lo : lo + m]
+            x *= down[lo : lo + m]
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x >>= self.low
+            x <<= self.low
+            x |= np.arange(lo, lo + m, dtype=np.uint64)
+            reach = 1
+            while reach < span:
+                step = min(reach, span - reach)
+                x = np.minimum(x[: len(x) - step], x[step:])
+                reach += step
+            out[lo:hi] = x
+        return out
+
     def split(self, ranges: int) -> np.ndarray:
         """Where the entries of each range of ranks begin, with an end."""
-        width = -(-(1 << 64) // ranges)
-        edges = np.array([k * width for k in range(1, ranges)], np.uint64)
-        return np.r_[0, np.searchsorted(self.keys[:, 0], edges), len(self.keys)]
+        return _ranges(self.keys[:, 0], ranges)
 
 
 def _narrow(doc: np.ndarray) -> np.ndarray:
@@ -123,20 +144,30 @@ def _round2(t):
 
 
 def _round3(t):
+    """One range of halves: which of each group's halves another group has."""
+    return _told(t, "half", lambda h, doc, fresh: (np.diff(np.r_[np.flatnonzero(fresh), len(h)]) > 1)[np.cumsum(fresh) - 1])
+
+
+def _round4(t):
     """One range of strings: which of each group's strings an earlier document has."""
+    return _told(t, "string", lambda h, doc, fresh: doc > doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1])
+
+
+def _told(t, column: str, judge):
+    """The numbers of the entries of each group for which judge(hashes, documents, first of equals) holds, all sorted by hash and document."""
     import pyarrow as pa
 
     groups = t.column("g").to_numpy()
-    string = [np.frombuffer(x, "<u8") for x in t.column("string").to_pylist()]
-    size = np.array([len(x) for x in string])
-    string, doc = np.concatenate(string), _wide(t.column("doc"), size)
+    h = [np.frombuffer(x, "<u8") for x in t.column(column).to_pylist()]
+    size = np.array([len(x) for x in h])
+    h = np.concatenate(h)
+    doc = _wide(t.column("doc"), size) if "doc" in t.column_names else np.zeros(len(h), np.int64)
     row = np.repeat(np.arange(len(size)), size)
     number = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    order = np.lexsort((doc, string))
-    s, d = string[order], doc[order]
-    fresh = np.r_[True, s[1:] != s[:-1]]
+    order = np.lexsort((doc, h))
+    s, d = h[order], doc[order]
     again = np.zeros(len(s), bool)
-    again[order] = d > d[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    again[order] = judge(s, d, np.r_[True, s[1:] != s[:-1]])
     keep = np.flatnonzero(again)
     cut = np.searchsorted(row[keep], np.arange(len(size) + 1))
     mark = number[keep].astype("<u4")
@@ -145,6 +176,42 @@ def _round3(t):
     return pa.table({"g": pa.array(groups[some]), "k": t.column("k").take(pa.array(some, pa.int64())), "told": pa.array([told[k] for k in some], pa.binary())}, schema=pa.schema([("g", pa.int64()), ("k", pa.int32()), ("told", pa.binary())]))
 
 
+def _ranges(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range of sorted hashes begins, with an end."""
+    width = -(-(1 << 64) // ranges)
+    return np.r_[0, np.searchsorted(h, np.array([k * width for k in range(1, ranges)], np.uint64)), len(h)]
+
+
+class Halves:
+    """Right and left halves of the entries in state 2 of a group; equal ones are one, in sorted order."""
+
+    def __init__(self, a: Anchors, state: np.ndarray, gram: int):
+        self.of = a.holder[state == 2]
+        self.middle = (a.length - gram) // 2
+        p, sums = a.anchor[self.of], a.sums
+        self.right, self.left = p - a.last[self.of] <= self.middle, p - a.first[self.of] >= self.middle
+        r, q = p[self.right], p[self.left]
+        h = np.r_[slice_hash(sums, r, r + a.length - self.middle), mix(slice_hash(sums, q - self.middle, q + gram) ^ np.uint64(1))]
+        doc = a.doc_id[a.doc[np.r_[self.of[self.right], self.of[self.left]]]]
+        order = np.lexsort((doc, h))
+        sorted_h, doc = h[order], doc[order]
+        fresh = np.r_[True, sorted_h[1:] != sorted_h[:-1]][: len(h)]
+        self.rank = np.empty(len(h), np.int64)
+        self.rank[order] = np.cumsum(fresh) - 1
+        lead = np.flatnonzero(fresh)
+        self.keys = sorted_h[lead]
+        self.shared = doc[lead] != doc[np.r_[lead[1:], len(h)] - 1] if len(h) else np.zeros(0, bool)  # by two documents of this group
+
+    def alive(self, told, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each entry whether its right and its left half occur in another document."""
+        shared, begin = self.shared.copy(), _ranges(self.keys, ranges)
+        for k, x in zip(told.column("k").to_pylist(), told.column("told").to_pylist(), strict=True):
+            shared[begin[k] + np.frombuffer(x, "<u4")] = True
+        right, left, n = np.zeros(len(self.of), bool), np.zeros(len(self.of), bool), int(self.right.sum())
+        right[self.right], left[self.left] = shared[self.rank[:n]], shared[self.rank[n:]]
+        return right, left
+
+
 def _states(anchors: Anchors, told, ranges: int) -> np.ndarray:
     """State of each entry from what round 2 has told the group."""
     state, begin = np.zeros(len(anchors.keys), np.int64), anchors.split(ranges)
@@ -154,20 +221,22 @@ def _states(anchors: Anchors, told, ranges: int) -> np.ndarray:
     return state
 
 
-def _open_strings(anchors: Anchors, state: np.ndarray, ranges: int):
-    """Strings of the entries in state 2 in sorted order: start, hash, first of each range."""
-    of = anchors.holder[state == 2]
-    n = anchors.last[of] - anchors.first[of] + 1
-    start = np.repeat(anchors.first[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    h = slice_hash(anchors.sums, start, start + anchors.length)
-    doc = anchors.doc_id[np.searchsorted(anchors.offsets, start, "right") - 1] if len(start) else start
+def _open_strings(a: Anchors, state: np.ndarray, gram: int, told, ranges: int):
+    """Strings over the halves that are left, in sorted order: start, hash, document, first of equals, where ranges begin."""
+    halves = Halves(a, state, gram)
+    right, left = halves.alive(told, ranges)
+    of = halves.of
+    n = a.last[of] - a.first[of] + 1
+    start = np.repeat(a.first[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    into = np.repeat(a.anchor[of], n) - start
+    keep = (np.repeat(right, n) | (into > halves.middle)) & (np.repeat(left, n) | (into < halves.middle))
+    start = start[keep]
+    h = slice_hash(a.sums, start, start + a.length)
+    doc = a.doc_id[np.searchsorted(a.offsets, start, "right") - 1] if len(start) else start
     order = np.lexsort((start, doc, h))
     h, start, doc = h[order], start[order], doc[order]
     fresh = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-    width = -(-(1 << 64) // ranges)
-    lead = h[fresh]
-    begin = np.r_[0, np.searchsorted(lead, np.array([k * width for k in range(1, ranges)], np.uint64)), len(lead)]
-    return start, h, doc, fresh, begin
+    return start, h, doc, fresh, _ranges(h[fresh], ranges)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -196,20 +265,32 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
         t, a = anchors_of(t)
         begin = a.split(ranges)
         doc = _narrow(a.doc_id[a.doc[a.holder]]) if len(a.keys) else np.zeros(0, "<u4")
+        return packed(t, begin, gram=a.keys[:, 0], context=a.keys[:, 1], doc=doc)
+
+    def of_kind(told, kind):
+        return told.filter(pa.array(told.column("kind").to_numpy() == kind))
+
+    def packed(t, begin, **columns):
         some = [k for k in range(ranges) if begin[k + 1] > begin[k]]
-        cut = lambda x: pa.array([x[begin[k] : begin[k + 1]].tobytes() for k in some], pa.binary())
-        return pa.table({"g": pa.array([t.column("g")[0].as_py()] * len(some), pa.int64()), "k": pa.array(some, pa.int32()), "gram": cut(a.keys[:, 0]), "context": cut(a.keys[:, 1]), "doc": cut(doc)})
+        cut = {c: pa.array([x[begin[k] : begin[k + 1]].tobytes() for k in some], pa.binary()) for c, x in columns.items()}
+        return pa.table({"g": pa.array([t.column("g")[0].as_py()] * len(some), pa.int64()), "k": pa.array(some, pa.int32()), **cut})
+
+    def none(*columns):
+        return pa.table({"g": pa.array([], pa.int64()), "k": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in columns}})
 
     def round3(key, t, told):
-        empty = {"g": pa.array([], pa.int64()), "k": pa.array([], pa.int32()), "string": pa.array([], pa.binary()), "doc": pa.array([], pa.binary())}
         if not t.num_rows or not told.num_rows:
-            return pa.table(empty)
+            return none("half")
         t, a = anchors_of(t)
-        start, h, doc, fresh, begin = _open_strings(a, _states(a, told, ranges), ranges)
-        h, doc = h[fresh], _narrow(doc[fresh])
-        some = [k for k in range(ranges) if begin[k + 1] > begin[k]]
-        cut = lambda x: pa.array([x[begin[k] : begin[k + 1]].tobytes() for k in some], pa.binary())
-        return pa.table({"g": pa.array([t.column("g")[0].as_py()] * len(some), pa.int64()), "k": pa.array(some, pa.int32()), "string": cut(h), "doc": cut(doc)})
+        halves = Halves(a, _states(a, told, ranges), gram)
+        return packed(t, _ranges(halves.keys, ranges), half=halves.keys)
+
+    def round4(key, t, told):
+        if not t.num_rows or not told.num_rows:
+            return none("string", "doc")
+        t, a = anchors_of(t)
+        _, h, doc, fresh, begin = _open_strings(a, _states(a, of_kind(told, 2), ranges), gram, of_kind(told, 3), ranges)
+        return packed(t, begin, string=h[fresh], doc=_narrow(doc[fresh]))
 
     def marked(key, t, told):
         names = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
@@ -223,16 +304,15 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
             np.add.at(edge, last + length, -1)
 
         if told.num_rows and len(a.keys):
-            kinds = told.column("kind").to_numpy()
-            state = _states(a, told.filter(pa.array(kinds == 2)), ranges)
+            state = _states(a, of_kind(told, 2), ranges)
             own = a.doc_id[a.doc]
             first = a.doc_id[a.doc[a.holder]]
             # an earlier document outside has the entry, or an earlier one of this group
             full = (state[a.entry] == 1) | (own > first[a.entry])
             cover(a.first[full], a.last[full])
-            start, h, doc, fresh, begin = _open_strings(a, state, ranges)
+            start, h, doc, fresh, begin = _open_strings(a, state, gram, of_kind(told, 3), ranges)
             again = np.zeros(int(fresh.sum()), bool)
-            for k, x in zip(*(told.filter(pa.array(kinds == 3)).column(c).to_pylist() for c in ("k", "told")), strict=True):
+            for k, x in zip(*(of_kind(told, 4).column(c).to_pylist() for c in ("k", "told")), strict=True):
                 again[begin[k] + np.frombuffer(x, "<u4")] = True
             which = np.cumsum(fresh) - 1
             lead = doc[np.flatnonzero(fresh)][which] if len(doc) else doc
@@ -261,8 +341,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
 
     # one query, so that texts and entries are each dealt out once and every round reads them again
     entries = rows.groupBy("g").applyInArrow(round1, "g long, k int, gram binary, context binary, doc binary")
-    told2 = entries.groupBy("k").applyInArrow(_round2, "g long, k int, told binary")
-    strings = rows.groupBy("g").cogroup(told2.groupBy("g")).applyInArrow(round3, "g long, k int, string binary, doc binary")
-    told3 = strings.groupBy("k").applyInArrow(_round3, "g long, k int, told binary")
-    told = told2.withColumn("kind", F.lit(2)).union(told3.withColumn("kind", F.lit(3)))
+    shape = "g long, k int, told binary"
+    told2 = entries.groupBy("k").applyInArrow(_round2, shape).withColumn("kind", F.lit(2))
+    halves = rows.groupBy("g").cogroup(told2.groupBy("g")).applyInArrow(round3, "g long, k int, half binary")
+    told3 = told2.union(halves.groupBy("k").applyInArrow(_round3, shape).withColumn("kind", F.lit(3)))
+    strings = rows.groupBy("g").cogroup(told3.groupBy("g")).applyInArrow(round4, "g long, k int, string binary, doc binary")
+    told = told3.union(strings.groupBy("k").applyInArrow(_round4, shape).withColumn("kind", F.lit(4)))
     return rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(marked, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
