@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import components, min_labels, partitions, small_batches, written
 
-THRESHOLD, MARGIN, CELL, BLOCK = 0.9, 0.25, 512, 1024
+THRESHOLD, MARGIN, CELL, BLOCK, TILE = 0.9, 0.15, 2048, 8192, 1024
 #: The k-means fit sees at most so many vectors and has at most so many centres.
 SAMPLE, CENTRES, ROUNDS, SEED = 20_000, 4096, 8, 7
 
@@ -38,58 +38,104 @@ def _usable():
     return F.expr("embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)")
 
 
-def _cells(centres: np.ndarray, margin: float):
-    """Arrow function: (rep, n, unit vector) to a row for each cell it is compared in; home is its own cell, visits all of them."""
+def _unit(vecs: np.ndarray) -> np.ndarray:
+    """Rows at unit length in double precision, scaled first so that no norm overflows."""
+    vecs = vecs.astype(np.float64)
+    vecs = vecs / np.abs(vecs).max(1, keepdims=True)
+    return vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+
+
+def _visits(vecs: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of every cell that a row is compared in."""
+    cos = vecs @ centres.T
+    return np.nonzero(cos >= cos.max(1)[:, None] - margin)
+
+
+def _counts(centres: np.ndarray, margin: float, kind: str):
+    """Arrow function: rows per cell."""
+    import pyarrow as pa
+
+    def run(batches):
+        total = np.zeros(len(centres), np.int64)
+        for b in batches:
+            if b.num_rows:
+                v = _unit(np.frombuffer(b"".join(b.column("v").to_pylist()), kind).reshape(b.num_rows, -1))
+                total += np.bincount(_visits(v, centres, margin)[1], minlength=len(centres))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "rows"])
+
+    return run
+
+
+def _dealt(centres: np.ndarray, margin: float, blocks: np.ndarray, kind: str):
+    """Arrow function: a row for each cell and pair of its blocks that a vector takes part in."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            rep, n = b.column("rep").to_numpy(), b.column("n").to_numpy()
-            vecs = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1)
-            cos = vecs @ centres.T
-            home = cos.argmax(1)
-            row, cell = np.nonzero(cos >= cos.max(1)[:, None] - margin)
-            visits = [cell[s:e] for s, e in zip(*(lambda c: (c[:-1], c[1:]))(np.r_[0, np.cumsum(np.bincount(row, minlength=len(rep)))]), strict=True)]
+            rep, n, raw = b.column("rep").to_numpy(), b.column("n").to_numpy(), b.column("v").to_pylist()
+            row, cell = _visits(_unit(np.frombuffer(b"".join(raw), kind).reshape(len(rep), -1)), centres, margin)
+            bound = np.searchsorted(row, np.arange(len(rep) + 1))
+            seen = [cell[s:e].astype("<u2").tobytes() for s, e in zip(bound[:-1], bound[1:], strict=True)]
+            times = blocks[cell]
+            row, cell = np.repeat(row, times), np.repeat(cell, times)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            own = (rep[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[cell]
             for part in np.array_split(np.arange(len(row)), max(1, len(row) // 4096)):
                 r = row[part]
-                yield pa.RecordBatch.from_arrays([pa.array(cell[part].astype(np.int32)), pa.array(home[r].astype(np.int32)), pa.array(rep[r]), pa.array(n[r]), pa.array([visits[i].astype("<i4").tobytes() for i in r], pa.binary()), pa.array([x.tobytes() for x in vecs[r]], pa.binary())], ["cell", "home", "rep", "n", "visits", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[part]), pa.array(np.minimum(own, other)[part]), pa.array(np.maximum(own, other)[part]), pa.array(own[part]), pa.array(rep[r]), pa.array(n[r]), pa.array([seen[i] for i in r], pa.binary()), pa.array([raw[i] for i in r], pa.binary())], ["cell", "x", "y", "block", "rep", "n", "seen", "v"])
 
     return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, cells: int, kind: str):
     """Grouped Arrow function over one pair of blocks of a cell: links counted per vector, and a forest of them."""
     import pyarrow as pa
 
     def run(t):
-        cell = t.column("cell")[0].as_py()
-        low = t.column("x")[0].as_py() == t.column("y")[0].as_py()
-        block, home, rep, n = (t.column(c).to_numpy() for c in ("block", "home", "rep", "n"))
-        v = np.stack([np.frombuffer(x, np.float64) for x in t.column("v").to_pylist()])
-        visits = [np.frombuffer(x, "<i4") for x in t.column("visits").to_pylist()]
-        if low:
-            i, j = np.nonzero(np.triu(v @ v.T >= threshold, 1))
-        else:
-            first = block == t.column("x")[0].as_py()
-            p, q = np.flatnonzero(first), np.flatnonzero(~first)
-            i, j = np.nonzero(v[p] @ v[q].T >= threshold)
-            i, j = p[i], q[j]
-        # a pair meets in every cell that both visit; it counts in the smallest of them alone
-        if len(i):
-            once = np.array([np.intersect1d(visits[a], visits[b], assume_unique=True)[0] == cell for a, b in zip(i, j, strict=True)])
-            i, j = i[once], j[once]
-        count = np.zeros(len(rep), np.int64)
-        np.add.at(count, i, n[j])
-        np.add.at(count, j, n[i])
-        labels = min_labels(len(rep), i, j)
+        cell, x, y = (t.column(c)[0].as_py() for c in ("cell", "x", "y"))
+        block, rep, n = (t.column(c).to_numpy() for c in ("block", "rep", "n"))
+        v = _unit(np.frombuffer(b"".join(t.column("v").to_pylist()), kind).reshape(len(rep), -1))
+        # cells before this one that a vector visits, as bits: a pair counts in the first cell that both visit
+        before = np.zeros((len(rep), cells), bool)
+        for k, s in enumerate(t.column("seen").to_pylist()):
+            before[k, np.frombuffer(s, "<u2")] = True
+        before = np.packbits(before[:, :cell], axis=1)
+        left = np.flatnonzero(block == x)
+        right = left if x == y else np.flatnonzero(block == y)
+        count, labels = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        for p in np.array_split(left, max(1, -(-len(left) // TILE))):
+            for q in np.array_split(right, max(1, -(-len(right) // TILE))):
+                if x == y and len(p) and len(q) and q[-1] <= p[0]:
+                    continue
+                i, j = np.nonzero(v[p] @ v[q].T >= threshold)
+                i, j = p[i], q[j]
+                keep = ~(before[i] & before[j]).any(1)
+                if x == y:
+                    keep &= i < j
+                i, j = i[keep], j[keep]
+                np.add.at(count, i, n[j])
+                np.add.at(count, j, n[i])
+                labels = min_labels(len(rep), i, j, labels)
         hit = np.flatnonzero(count)
         return pa.table({"rep": pa.array(rep[hit]), "links": pa.array(count[hit]), "other": pa.array(rep[labels[hit]])})
 
     return run
 
 
+def _bytes(kind: str):
+    """Arrow function: vectors as the bytes of their components."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([np.array(x, kind).tobytes() for x in b.column("embedding").to_pylist()], pa.binary())], ["vec_id", "v"])
+
+    return run
+
+
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, cell: int = CELL, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of table (vec_id, embedding, ...).
 
@@ -99,29 +145,27 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, margin: floa
     """
     spark = table.sparkSession
     small_batches(spark)
-    rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).withColumn("ok", F.coalesce(_usable(), F.lit(False)))
-    # scaled by the largest component first: no overflow or underflow in the norm
-    top = F.array_max(F.transform("embedding", F.abs))
-    unit = rows.where("ok").withColumn("embedding", F.transform("embedding", lambda x: x / top))
-    unit = unit.withColumn("_norm", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))
-    unit = written(unit.select("vec_id", F.transform("embedding", lambda x: x / F.col("_norm")).alias("v")).withColumn("key", F.md5(F.to_json("v"))), "unit")
-    distinct = written(unit.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v")), "vectors")
-    sizes = [r["d"] for r in distinct.select(F.size("v").alias("d")).distinct().limit(65).collect()]
+    kind = "<f4" if dict(table.dtypes)["embedding"] == "array<float>" else "<f8"  # components travel as they are
+    rows = table.select(F.col("vec_id").cast("long"), F.col("embedding") if kind == "<f4" else F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.withColumn("ok", F.coalesce(_usable(), F.lit(False)))
+    unit = rows.where("ok").select("vec_id", "embedding").mapInArrow(_bytes(kind), "vec_id long, v binary")
+    unit = written(unit.withColumn("key", F.md5("v")), "vectors")
+    distinct = written(unit.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v")), "distinct")
+    sizes = [r["d"] for r in distinct.select(F.length("v").alias("d")).distinct().limit(65).collect()]
     if len(sizes) > 64:
         raise ValueError("vectors have more than 64 different lengths")
     links = None
     for d in sizes:
-        own = distinct.where(F.size("v") == d)
-        total = own.count()
-        k = int(min(CENTRES, max(1, total // cell)))
-        seen = np.array([r["v"] for r in own.orderBy(F.xxhash64("rep")).limit(sample).select("v").collect()], float)
-        centres = fit_centres(seen, k)
-        dealt = own.select("rep", "n", "v").repartition(partitions(spark)).mapInArrow(_cells(centres, margin), "cell int, home int, rep long, n long, visits binary, v binary")
-        dealt = written(dealt, "cells")
-        blocks = dealt.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        own = dealt.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        pairs = own.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("x", F.least("block", "with")).withColumn("y", F.greatest("block", "with"))
-        found = pairs.select("cell", "x", "y", "block", "home", "rep", "n", "visits", "v").groupBy("cell", "x", "y").applyInArrow(_compare(threshold), "rep long, links long, other long")
+        own = distinct.where(F.length("v") == d).select("rep", "n", "v")
+        k = int(min(CENTRES, max(1, own.count() // cell)))
+        seen = own.orderBy(F.xxhash64("rep")).limit(sample).select("v").toArrow().column("v").to_pylist()
+        centres = fit_centres(_unit(np.frombuffer(b"".join(seen), kind).reshape(len(seen), -1)), k)
+        own = own.repartition(partitions(spark))
+        rows_of = np.ones(len(centres), np.int64)
+        for r in own.mapInArrow(_counts(centres, margin, kind), "cell long, rows long").groupBy("cell").agg(F.sum("rows").alias("rows")).collect():  # a row per cell, at most CENTRES
+            rows_of[r["cell"]] = r["rows"]
+        dealt = own.mapInArrow(_dealt(centres, margin, -(-rows_of // block), kind), "cell long, x long, y long, block long, rep long, n long, seen binary, v binary")
+        found = dealt.groupBy("cell", "x", "y").applyInArrow(_compare(threshold, len(centres), kind), "rep long, links long, other long")
         links = found if links is None else links.union(found)
     if links is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
