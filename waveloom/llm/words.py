@@ -7,7 +7,7 @@ import numpy as np
 from .common import text_buffer, word_spans
 
 #: Bytes of text that are worked on at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: An odd base and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
