@@ -104,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = None
     while True:
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+        mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first())
         if mark == seen or not mark[0]:
             break
         seen = mark
@@ -143,5 +143,3 @@ def whole_groups(batches, keys: list[str]):
             held.append(table)
     if held:
         yield pa.concat_tables(held)
-
-
