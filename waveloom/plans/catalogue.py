@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waveloom.functions.columns import format_hz, snr_band
-from waveloom.operators import grids, reports, samples, scoring
+from waveloom.operators import estimators, grids, reports, samples, scoring
 from waveloom.sources import recordings
 
 QUERIES: dict = {}
@@ -454,5 +454,82 @@ def stream_sessions(spark, d):
     return rounded(spark.read.schema(result.schema).parquet(out), 4)
 
 
+def _captures(spark, d):
+    """Blocks of 256 orders as captures of at most a few thousand samples: price and quantity, at unit power."""
+    order = Window.partitionBy("capture_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    own = _table(spark, d, "lineitem").withColumn("capture_id", F.floor(F.col("l_orderkey") / 256))
+    own = own.select("capture_id", (F.row_number().over(order) - 1).cast("long").alias("n"), (F.col("l_extendedprice").cast("double") / 1000).alias("i"), F.col("l_quantity").cast("double").alias("q"))
+    return estimators.blocks(samples.condition(own))
+
+
+WELCH = """cap AS (SELECT l_orderkey // 256 AS capture_id, row_number() OVER (PARTITION BY l_orderkey // 256 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS n, l_extendedprice::DOUBLE / 1000 AS i, l_quantity::DOUBLE AS q FROM lineitem
+), c AS (SELECT capture_id, n, i - avg(i) OVER w AS i, q - avg(q) OVER w AS q, count(*) OVER w AS total FROM cap WINDOW w AS (PARTITION BY capture_id)
+), s AS (SELECT *, sqrt(avg(i * i + q * q) OVER (PARTITION BY capture_id)) AS scale FROM c
+), fr AS (SELECT capture_id, t, n - 16 * t AS m, i / scale * (0.5 - 0.5 * cos(2 * pi() * (n - 16 * t) / 32)) AS i, q / scale * (0.5 - 0.5 * cos(2 * pi() * (n - 16 * t) / 32)) AS q FROM s, unnest(range(greatest(0, n // 16 - 1), n // 16 + 1)) AS u(t) WHERE 16 * t + 32 <= total
+), th AS (SELECT *, 2 * pi() / 32 * ((f * m) % 32) AS th FROM fr, unnest(range(-16, 16)) AS v(f)
+), frames AS (SELECT capture_id, t, f, (sum(i * cos(th) + q * sin(th)) ** 2 + sum(q * cos(th) - i * sin(th)) ** 2) / 12 AS p FROM th GROUP BY ALL
+), psd AS (SELECT capture_id, f, avg(p) AS p FROM frames GROUP BY ALL)"""
+
+
+@query(f"WITH {WELCH} SELECT capture_id, f, round(p, 6) + 0.0 AS p FROM psd")
+def welch_density(spark, d):
+    return rounded(estimators.welch(_captures(spark, d), SIZE))
+
+
+@query(f"""WITH {WELCH}, h AS (SELECT *, 10 * log10(greatest(p, 1e-30)) AS d FROM psd), n AS (SELECT *, lag(d) OVER w AS a, lead(d) OVER w AS b FROM h WINDOW w AS (PARTITION BY capture_id ORDER BY f)
+), o AS (SELECT *, coalesce(CASE WHEN a - 2 * d + b <> 0 THEN least(greatest(0.5 * (a - b) / (a - 2 * d + b), -1), 1) END, 0) AS step FROM n)
+SELECT capture_id, round(sum(p * f) / sum(p) / 32, 6) + 0.0 AS centroid, round(arg_max(f + step, p) / 32, 6) + 0.0 AS peak FROM o GROUP BY capture_id""")
+def center_frequency(spark, d):
+    return rounded(estimators.center_frequency(estimators.welch(_captures(spark, d), SIZE), SIZE).select("capture_id", "centroid", "peak"))
+
+
+@query()
+def density_humps(spark, d):
+    return estimators.center_frequency(estimators.welch(_captures(spark, d), SIZE), SIZE).select("capture_id", "humps", "confidence")
+
+
+@query(f"""WITH {WELCH}, b AS (SELECT capture_id, quantile_cont(p, 0.1) AS base FROM psd GROUP BY capture_id), x AS (SELECT capture_id, f, greatest(p - base, 0) AS s FROM psd JOIN b USING (capture_id)
+), y AS (SELECT *, sum(s) OVER (PARTITION BY capture_id ORDER BY f) / sum(s) OVER (PARTITION BY capture_id) AS cum, max(s) OVER (PARTITION BY capture_id) AS top FROM x
+), w AS (SELECT capture_id, (min(f) FILTER (cum >= 0.995) - min(f) FILTER (cum >= 0.005) + 1) / 32 AS obw, greatest(max(f) FILTER (s >= top * 10 ** -0.3) - min(f) FILTER (s >= top * 10 ** -0.3) + 1, 2) / 32 AS width_3db,
+greatest(max(f) FILTER (s >= top * 10 ** -2.0) - min(f) FILTER (s >= top * 10 ** -2.0) + 1, 2) / 32 AS width_20db FROM y GROUP BY capture_id)
+SELECT capture_id, round(obw, 6) AS obw, round(width_3db, 6) AS width_3db, round(width_20db, 6) AS width_20db, CASE WHEN obw > 0.9 THEN 0.35 WHEN obw > 0.75 THEN 0.6 ELSE 0.85 END::DOUBLE AS confidence FROM w""")
+def occupied_widths(spark, d):
+    return rounded(estimators.bandwidths(estimators.welch(_captures(spark, d), SIZE), SIZE))
+
+
+@query(f"""WITH {WELCH}, r AS (SELECT capture_id, t, arg_max(f, p)::DOUBLE AS y, 10 * log10(max(p)) - median(10 * log10(greatest(p, 1e-30))) AS rise FROM frames GROUP BY ALL)
+SELECT capture_id, count(*) AS columns, round(regr_r2(y, t), 6) + 0.0 AS r2 FROM r WHERE rise > 6 GROUP BY capture_id""")
+def ridge_sweep(spark, d):
+    return rounded(estimators.sweep(estimators.frame_power(_captures(spark, d), SIZE, SIZE // 2), SIZE, SIZE // 2).select("capture_id", "columns", "r2"))
+
+
+@query()
+def symbol_rate(spark, d):
+    """Three methods, their harmonics resolved, and what they agree on."""
+    own = _captures(spark, d)
+    series = estimators.with_series(own)
+    part = lambda df, name: df.select(F.col("capture_id").alias("id"), F.lit(name).alias("method"), "rate", "confidence")
+    rates = part(estimators.line_rate(estimators.lines(series, "power")), "a").union(part(estimators.line_rate(estimators.lines(series, "jumps")), "b")).union(part(estimators.envelope_lag_rate(own), "c"))
+    return rounded(scoring.reconcile(rates))
+
+
+@query()
+def cyclic_prefix(spark, d):
+    return rounded(estimators.cyclic_prefix(_captures(spark, d)))
+
+
+@query()
+def tone_spacing(spark, d):
+    return rounded(estimators.tones(_captures(spark, d)))
+
+
+@query()
+def filtered_power(spark, d):
+    """Mean power of the captures behind the low-pass and behind the matched filter."""
+    own = _captures(spark, d)
+    power = lambda df, name: df.select("capture_id", F.expr("aggregate(zip_with(i, q, (a, b) -> a * a + b * b), 0D, (s, x) -> s + x) / size(i)").alias(name))
+    return rounded(power(estimators.low_passed(own, 0.1), "low_passed").join(power(estimators.matched(own, 4), "matched"), "capture_id"))
+
+
 def flagship(spark, d):
     return islands(spark, d)
