@@ -64,7 +64,7 @@ def welch(own: DataFrame, size: int) -> DataFrame:
     return frame_power(own, size, size // 2).groupBy("capture_id", "f").agg(F.avg("p").alias("p"))
 
 
-def humps(heights: Column, rise: float = 6.0) -> Column:
+def humps(heights: Column, rise: Column | float = 6.0) -> Column:
     """Number of peaks of an array that stand out by `rise` on both sides: one fold that waits for a rise, then a fall."""
     state = F.struct(F.lit(False).alias("up"), F.element_at(heights, 1).alias("edge"), F.lit(0).alias("n"))
 
@@ -151,7 +151,7 @@ def _lags(x: np.ndarray) -> np.ndarray:
     return r / r[0] if n and r[0] > 0 else np.zeros(0)
 
 
-def _middle(values: Column) -> Column:
+def middle(values: Column) -> Column:
     s = F.array_sort(values)
     n = F.size(values)
     return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
@@ -159,7 +159,7 @@ def _middle(values: Column) -> Column:
 
 def envelope_lag_rate(own: DataFrame, least: float = 0.25, over: float = 5.0) -> DataFrame:
     """(capture_id, rate, confidence) from the first strong lag of the squared envelope; NULL where none stands out."""
-    r = _arrays(with_series(own), "capture_id long", ["power"], lambda x: _lags(x - x.mean()) if len(x) >= 16 else np.zeros(0)).withColumn("mid", _middle(F.transform("v", F.abs)))
+    r = _arrays(with_series(own), "capture_id long", ["power"], lambda x: _lags(x - x.mean()) if len(x) >= 16 else np.zeros(0)).withColumn("mid", middle(F.transform("v", F.abs)))
     lag = F.get(F.expr(f"filter(sequence(2, greatest(2, cast(size(v) / 2 as int))), k -> v[k] >= {least} and v[k] >= {over} * mid and v[k] > v[k - 1] and v[k] >= v[k + 1])"), F.lit(0))
     r = r.where(F.size("v") >= 16).withColumn("lag", lag)
     return r.select("capture_id", (1.0 / F.col("lag")).alias("rate"), F.coalesce(F.least(F.lit(0.6), F.get("v", F.col("lag"))), F.lit(0.0)).alias("confidence"))
@@ -175,7 +175,7 @@ def cyclic_prefix(own: DataFrame, most: int = 4096) -> DataFrame:
     lobe = F.coalesce(F.get(F.expr("filter(sequence(1, size(v) - 2), k -> v[k + 1] > v[k])"), F.lit(0)), F.size("v"))
     r = r.withColumn("first", F.greatest(F.lit(8), lobe + 1)).withColumn("last", F.least(F.lit(most), F.floor(F.size("v") / 4).cast("int"))).where("first < last")
     r = r.withColumn("part", F.expr("slice(v, first + 1, last - first + 1)")).withColumn("top", F.array_max("part"))
-    r = r.withColumn("lag", (F.array_position("part", F.col("top")) - 1 + F.col("first")).cast("long")).withColumn("ratio", F.col("top") / _middle(F.col("part")))
+    r = r.withColumn("lag", (F.array_position("part", F.col("top")) - 1 + F.col("first")).cast("long")).withColumn("ratio", F.col("top") / middle(F.col("part")))
     ok = (F.col("ratio") >= 8) & F.col("top").between(0.03, 0.35)
     return r.select("capture_id", F.when(ok, F.col("lag")).alias("useful_length"), F.when(ok, F.col("top") * F.col("lag") / (1 - F.col("top"))).alias("cp_length"), "ratio", F.when(ok, clip(0.5 + 0.012 * (F.col("ratio") - 8), 0.5, 0.95)).otherwise(0.0).alias("confidence"))
 
@@ -230,16 +230,17 @@ def _filtered(own: DataFrame, taps_of) -> DataFrame:
     return _arrays(i, "capture_id long, i array<double>", ["q"], lambda x: part(1)(x, x)).select("capture_id", "i", F.col("v").alias("q"))
 
 
-def low_passed(own: DataFrame, cutoff: float, taps: int = 101) -> DataFrame:
-    """Blocks behind a Hamming-windowed low-pass without delay; the taps shrink to an odd number below the block's length."""
+def low_pass_taps(cutoff: float, n: int, taps: int = 101) -> np.ndarray:
+    """A Hamming-windowed low-pass of gain 1; the taps shrink to an odd number below n, the length of what it filters."""
+    m = max(1, min(taps, n - 1 - n % 2 if n > 2 else 1))
+    k = np.arange(m) - m // 2
+    h = np.sinc(2 * cutoff * k) * (0.54 + 0.46 * np.cos(2 * np.pi * k / max(m - 1, 1)))
+    return h / h.sum()
 
-    def of(n):
-        m = max(1, min(taps, n - 1 - n % 2 if n > 2 else 1))
-        k = np.arange(m) - m // 2
-        h = np.sinc(2 * cutoff * k) * (0.54 + 0.46 * np.cos(2 * np.pi * k / max(m - 1, 1)))
-        return h / h.sum()
 
-    return _filtered(own, of)
+def low_passed(own: DataFrame, cutoff: float, taps: int = 101) -> DataFrame:
+    """Blocks behind a Hamming-windowed low-pass without delay."""
+    return _filtered(own, lambda n: low_pass_taps(cutoff, n, taps))
 
 
 def matched(own: DataFrame, per_symbol: int, rolloff: float = 0.35, span: int = 8) -> DataFrame:

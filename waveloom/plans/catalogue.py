@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waveloom.functions.columns import format_hz, snr_band
-from waveloom.operators import estimators, grids, reports, samples, scoring
+from waveloom.operators import estimators, features, grids, reports, samples, scoring
 from waveloom.sources import recordings
 
 QUERIES: dict = {}
@@ -424,11 +424,13 @@ def annotations(spark, d):
     return reports.annotations(own, 10.0).select("capture_id", "sample_start", "sample_count")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, value, epoch(ts) AS sec FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL), l AS (SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY user_id ORDER BY sec) < 1800 THEN 0 ELSE 1 END AS new FROM e
+), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY sec) AS run FROM l)
+SELECT user_id, CAST(floor(min(sec)) AS BIGINT) AS t0, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM r GROUP BY user_id, run""")
 def session_windows(spark, d):
     from waveloom.streaming.events import session_totals
 
-    return rounded(session_totals(_table(spark, d, "events").where("ts is not null")), 4)
+    return rounded(session_totals(_table(spark, d, "events").where("ts is not null and user_id is not null")), 4)
 
 
 @query("""WITH e AS (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events WHERE ts IS NOT NULL) SELECT event_type, CAST(w AS BIGINT) * 1800 AS t0, count(*) AS n FROM e, unnest(range(CAST(floor((sec - 7200) / 1800) AS BIGINT) + 1, CAST(floor(sec / 1800) AS BIGINT) + 1)) AS u(w) GROUP BY ALL""")
@@ -462,10 +464,10 @@ def _captures(spark, d):
     return estimators.blocks(samples.condition(own))
 
 
-WELCH = """cap AS (SELECT l_orderkey // 256 AS capture_id, row_number() OVER (PARTITION BY l_orderkey // 256 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS n, l_extendedprice::DOUBLE / 1000 AS i, l_quantity::DOUBLE AS q FROM lineitem
+CAPTURES = """cap AS (SELECT l_orderkey // 256 AS capture_id, row_number() OVER (PARTITION BY l_orderkey // 256 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS n, l_extendedprice::DOUBLE / 1000 AS i, l_quantity::DOUBLE AS q FROM lineitem
 ), c AS (SELECT capture_id, n, i - avg(i) OVER w AS i, q - avg(q) OVER w AS q, count(*) OVER w AS total FROM cap WINDOW w AS (PARTITION BY capture_id)
-), s AS (SELECT *, sqrt(avg(i * i + q * q) OVER (PARTITION BY capture_id)) AS scale FROM c
-), fr AS (SELECT capture_id, t, n - 16 * t AS m, i / scale * (0.5 - 0.5 * cos(2 * pi() * (n - 16 * t) / 32)) AS i, q / scale * (0.5 - 0.5 * cos(2 * pi() * (n - 16 * t) / 32)) AS q FROM s, unnest(range(greatest(0, n // 16 - 1), n // 16 + 1)) AS u(t) WHERE 16 * t + 32 <= total
+), s AS (SELECT *, sqrt(avg(i * i + q * q) OVER (PARTITION BY capture_id)) AS scale FROM c)"""
+WELCH = CAPTURES + """, fr AS (SELECT capture_id, t, n - 16 * t AS m, i / scale * (0.5 - 0.5 * cos(2 * pi() * (n - 16 * t) / 32)) AS i, q / scale * (0.5 - 0.5 * cos(2 * pi() * (n - 16 * t) / 32)) AS q FROM s, unnest(range(greatest(0, n // 16 - 1), n // 16 + 1)) AS u(t) WHERE 16 * t + 32 <= total
 ), th AS (SELECT *, 2 * pi() / 32 * ((f * m) % 32) AS th FROM fr, unnest(range(-16, 16)) AS v(f)
 ), frames AS (SELECT capture_id, t, f, (sum(i * cos(th) + q * sin(th)) ** 2 + sum(q * cos(th) - i * sin(th)) ** 2) / 12 AS p FROM th GROUP BY ALL
 ), psd AS (SELECT capture_id, f, avg(p) AS p FROM frames GROUP BY ALL)"""
@@ -531,5 +533,61 @@ def filtered_power(spark, d):
     return rounded(power(estimators.low_passed(own, 0.1), "low_passed").join(power(estimators.matched(own, 4), "matched"), "capture_id"))
 
 
+@query(f"""WITH {CAPTURES}, e AS (SELECT capture_id, n, sqrt(i * i + q * q) / scale AS a, total FROM s WHERE total >= 256
+), k AS (SELECT capture_id, quantile_cont(a, 0.1) AS lo, quantile_cont(a, 0.9) AS hi FROM e GROUP BY capture_id
+), o AS (SELECT capture_id AS id, n - row_number() OVER (PARTITION BY capture_id ORDER BY n) AS run FROM e JOIN k USING (capture_id) WHERE hi > 1.5 * lo AND a > (lo + hi) / 2
+), m AS (SELECT id, run, count(*) AS length FROM o GROUP BY ALL), g AS (SELECT *, sqrt((min(length) OVER (PARTITION BY id) * max(length) OVER (PARTITION BY id))::DOUBLE) AS edge FROM m
+), d AS (SELECT id, count(*) AS marks, median(length) FILTER (length <= edge) AS dot, median(length) FILTER (length > edge) AS dash FROM g GROUP BY id)
+SELECT id, marks, CASE WHEN marks >= 6 THEN dot END AS dot, round(CASE WHEN marks >= 6 THEN dash / dot END, 6) AS ratio, CASE WHEN marks >= 6 THEN coalesce(dash / dot BETWEEN 2.0 AND 4.5, false) END AS morse FROM d""")
+def keyed_captures(spark, d):
+    """Marks of the captures, whose envelopes of under 2000 samples need no smoothing."""
+    return rounded(scoring.keying(features.keyed_marks(_captures(spark, d))))
+
+
+def _vectors(spark, d):
+    return features.feature_vector(estimators.blocks(_iq(spark, d)))
+
+
+@query()
+def feature_vector(spark, d):
+    return rounded(_vectors(spark, d), 4)
+
+
+@query(f"""WITH {IQ}, u AS (SELECT capture_id, i / sqrt(avg(i * i + q * q) OVER w) AS i, q / sqrt(avg(i * i + q * q) OVER w) AS q FROM iq WINDOW w AS (PARTITION BY capture_id)
+), p AS (SELECT *, i * i + q * q AS p, i * i - q * q AS r, 2 * i * q AS x FROM u
+), m AS (SELECT capture_id, avg(p) AS m21, avg(r) AS r20, avg(x) AS x20, avg(r * r - x * x) AS r40, avg(2 * r * x) AS x40, avg(r * p) AS r41, avg(x * p) AS x41, avg(p * p) AS m42, avg(p * p * p) AS m63, stddev_pop(abs(sqrt(p))) / avg(sqrt(p)) AS spread, 10 * log10(max(p)) AS papr_db FROM p GROUP BY capture_id
+), c AS (SELECT *, m42 - r20 * r20 - x20 * x20 - 2 * m21 * m21 AS c42 FROM m)
+SELECT capture_id, round(sqrt(r20 * r20 + x20 * x20), 4) AS c20, round(sqrt((r40 - 3 * (r20 * r20 - x20 * x20)) ** 2 + (x40 - 6 * r20 * x20) ** 2), 4) AS c40, round(sqrt((r41 - 3 * r20 * m21) ** 2 + (x41 - 3 * x20 * m21) ** 2), 4) AS c41,
+round(abs(c42), 4) AS c42, round(abs(m63 - 9 * c42 * m21 - 6 * m21 ** 3), 4) AS c63, round(spread * spread, 4) AS envelope_var, round(papr_db, 4) + 0.0 AS papr_db FROM c""")
+def sample_features(spark, d):
+    own = features.sample_features(estimators.blocks(_iq(spark, d)))
+    return rounded(own.select("capture_id", "c20", "c40", "c41", "c42", "c63", "envelope_var", "papr_db"), 4)
+
+
+@query()
+def feature_classifier(spark, d):
+    """Classes of the vectors by boosted trees, a few rounds of them, fitted on four fifths of the labels; the rest shows what that is worth."""
+    truth = _table(spark, d, "embeddings").select(F.col("vec_id").alias("capture_id"), F.col("label").cast("string").alias("truth"))
+    own = _vectors(spark, d).join(truth, "capture_id").withColumn("held_out", F.crc32(F.col("capture_id").cast("string").cast("binary")) % 5 == 0)
+    model = features.fitted(own.withColumn("label", F.when(~F.col("held_out"), F.col("truth"))), rounds=2, depth=3)
+    return rounded(features.classified(model, own).join(own.select("capture_id", "truth", "held_out"), "capture_id"))
+
+
+@query()
+def isolated_bursts(spark, d):
+    """Two boxes of every capture, cut out, turned down, filtered and thinned."""
+    own = _captures(spark, d)
+    boxes = own.select("capture_id", F.explode(F.expr("array(named_struct('box_id', 1L, 'first', 0L, 'last', 512L, 'f_lo', 0.05D, 'f_hi', 0.15D), named_struct('box_id', 2L, 'first', 256L, 'last', 4096L, 'f_lo', -0.3D, 'f_hi', -0.25D))")).alias("b")).select("capture_id", "b.*")
+    power = F.expr("aggregate(zip_with(i, q, (a, b) -> a * a + b * b), 0D, (s, x) -> s + x) / size(i)")
+    return rounded(features.isolated(own, boxes).select("capture_id", "box_id", "every", F.size("i").alias("n"), power.alias("power")))
+
+
+@query()
+def audible_captures(spark, d):
+    """Length and mean size of the captures' envelopes as sound."""
+    sound = features.audible(_captures(spark, d), 24_000.0, kind="am")
+    return rounded(sound.select("capture_id", F.size("audio").alias("n"), F.expr("aggregate(audio, 0D, (s, x) -> s + abs(x)) / size(audio)").alias("size")))
+
+
 def flagship(spark, d):
     return islands(spark, d)
