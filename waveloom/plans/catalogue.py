@@ -127,7 +127,13 @@ def spectral_shape(spark, d):
     return rounded(samples.spectral_shape(samples.dft_power(_iq(spark, d), SIZE), SIZE))
 
 
-@query()
+@query(f"""WITH {IQ}, two AS (SELECT capture_id, n, i * i - q * q AS i2, 2 * i * q AS q2 FROM iq), four AS (SELECT *, i2 * i2 - q2 * q2 AS i4, 2 * i2 * q2 AS q4 FROM two
+), x AS (SELECT capture_id, n, 2 AS m, i2 AS i, q2 AS q FROM four UNION ALL SELECT capture_id, n, 4, i4, q4 FROM four UNION ALL SELECT capture_id, n, 8, i4 * i4 - q4 * q4, 2 * i4 * q4 FROM four
+), th AS (SELECT *, -2 * pi() / 32 * ((k * n) % 32) AS th FROM x, unnest(range(0, 32)) AS u(k)
+), bins AS (SELECT capture_id, m, k, sum(i * cos(th) - q * sin(th)) ** 2 + sum(i * sin(th) + q * cos(th)) ** 2 AS p FROM th GROUP BY ALL
+), line AS (SELECT capture_id, m, 10 * log10(max(p) / median(p)) AS d FROM bins GROUP BY ALL
+), best AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY d DESC, m) AS r FROM line)
+SELECT capture_id, CASE WHEN d >= 10 THEN CAST(m AS BIGINT) END AS psk_order, round(d, 4) AS sharpness_db FROM best WHERE r = 1""")
 def mth_power_line(spark, d):
     return rounded(samples.mth_power_line(_iq(spark, d), SIZE), 4)
 
@@ -353,7 +359,10 @@ def rules_evidence(spark, d):
     return x.select("id", label.alias("label"), said.alias("evidence"))
 
 
-@query()
+@query("""WITH r AS (SELECT user_id AS id, event_type AS method, avg(value) AS rate, (count(*) % 90) / 100.0::DOUBLE AS confidence FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL GROUP BY ALL
+), g AS (SELECT a.id, a.method, a.rate, a.confidence, count(*) AS n, sum(b.rate * greatest(b.confidence, 1e-3)) / sum(greatest(b.confidence, 1e-3)) AS mean, avg(b.confidence) AS sure FROM r a JOIN r b ON a.id = b.id AND abs(a.rate - b.rate) <= 0.05 * least(a.rate, b.rate) GROUP BY ALL
+), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, method) AS k, count(*) OVER (PARTITION BY id) AS methods FROM g)
+SELECT id, round(CASE WHEN n > 1 THEN mean ELSE rate END, 4) + 0.0 AS rate, round(CASE WHEN n > 1 THEN least(0.97, greatest(0.85, sure)) WHEN methods = 1 THEN least(confidence, 0.6) ELSE least(confidence, 0.4) END, 4)::DOUBLE AS confidence, n AS agreeing FROM k WHERE k = 1""")
 def rate_reconcile(spark, d):
     own = _table(spark, d, "events").where("user_id is not null and value is not null").groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("method")).agg(F.avg("value").alias("rate"), (F.count("*") % 90 / 100.0).alias("confidence"))
     return rounded(scoring.reconcile(own), 4)
@@ -440,9 +449,11 @@ def hop_windows(spark, d):
     return hop_totals(_table(spark, d, "events").where("ts is not null"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, value, epoch(ts) AS sec FROM events WHERE ts IS NOT NULL), l AS (SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY user_id ORDER BY sec) < 1800 THEN 0 ELSE 1 END AS new FROM e
+), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY sec) AS run FROM l)
+SELECT user_id, CAST(floor(min(sec)) AS BIGINT) AS t0, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM r GROUP BY user_id, run HAVING max(sec) + 1800 <= (SELECT max(sec) FROM e) - 3600""")
 def stream_sessions(spark, d):
-    """The session query as a stream over the files of events, run to what is there."""
+    """The session query as a stream over the files of events, run to what is there; sessions that the watermark has not passed stay open."""
     import uuid
 
     from waveloom.streaming.events import drained, session_totals, stream
