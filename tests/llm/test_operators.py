@@ -196,6 +196,23 @@ def test_trie_links(spark, split):
     assert [found.get(k, k) for k in range(len(values))] == label
 
 
+@pytest.mark.parametrize("split", [20_000, 0])
+def test_trie_links_on_block_borders(spark, split):
+    from itertools import combinations
+
+    from waveloom.llm.common import components
+    from waveloom.llm.simhash import linked
+
+    rng = random.Random(14)
+    # borders of the five blocks of 64 bits, and of the five blocks of the 51 bits after the first
+    borders = [0, 12, 13, 23, 24, 25, 26, 33, 34, 38, 39, 43, 44, 51, 52, 53, 54, 63]
+    patterns = [sum(1 << (63 - b) for b in four) for four in combinations(borders, 4)]
+    values = [v for p, x in zip(patterns, [rng.getrandbits(64) for _ in patterns], strict=True) for v in (x, x ^ p)]
+    table = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, k) for k, v in enumerate(values)], "fp long, rep long")
+    found = {r["node"]: r["component"] for r in components(linked(table, split=split)).collect()}
+    assert [k for k in range(len(values)) if found.get(k) != k - k % 2] == []
+
+
 def test_components_of_a_chain(spark):
     from waveloom.llm.common import components
 

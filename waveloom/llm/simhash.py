@@ -115,26 +115,34 @@ def _rotl(col, k: int):
     return F.shiftleft(col, k).bitwiseOR(F.shiftrightunsigned(col, 64 - k)) if k else col
 
 
+def _blocks(size: int, parts: int) -> list[tuple[int, int]]:
+    """(start, width) of disjoint blocks that cover `size` bits from the top, the wider ones first."""
+    widths = [size // parts + (k < size % parts) for k in range(parts)]
+    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+
+
+def _top(col, width: int):
+    return F.shiftrightunsigned(col, 64 - width) if width else F.lit(0).cast("long")
+
+
 def linked(distinct: DataFrame, bits: int = BITS, split: int = SPLIT) -> DataFrame:
     """Edges (a, b) of rep that connect all of distinct (fp, rep) that reach each other within `bits` bits."""
     spark = distinct.sparkSession
-    width = -(-64 // (bits + 1))
-    starts = [min(k * width, 64 - width) for k in range(bits + 1)]
-    roots = distinct.select("rep", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _rotl(F.col("fp"), s).alias("turned")) for k, s in enumerate(starts)])).alias("x")).select("rep", "x.*")
-    roots = roots.withColumn("root", F.shiftleft(F.col("k").cast("long"), width).bitwiseOR(F.shiftrightunsigned("turned", 64 - width)))
-    run = _forest(bits, width)
+    blocks = _blocks(64, bits + 1)
+    narrow, wide = blocks[-1][1], blocks[0][1]
+    root = lambda k, s, w: F.struct(F.lit(k).alias("k"), _rotl(F.col("fp"), s).alias("turned"), F.lit(k).cast("long").bitwiseOR(F.shiftleft(_top(_rotl(F.col("fp"), s), w), 8)).alias("root"))
+    roots = distinct.select("rep", F.explode(F.array(*[root(k, s, w) for k, (s, w) in enumerate(blocks)])).alias("x")).select("rep", "x.*")
+    run = _forest(bits, narrow)
     large = roots.groupBy("root").count().where(F.col("count") > split).select("root")
     n = partitions(spark)
     deal = lambda df: df.select("root", "turned", "rep").repartition(n, "root").sortWithinPartitions("root")
     if large.isEmpty():
         return deal(roots).mapInArrow(run, "a long, b long")
     small = roots.join(large, "root", "left_anti")
-    rest = 64 - width
-    step = -(-rest // (bits + 1))
-    again = roots.join(large, "root", "left_semi").select("rep", "turned", "root", F.explode(F.array(*[F.lit(min(k * step, rest - step)) for k in range(bits + 1)])).alias("at"))
-    # the bits of the second block come to the top of what the traversal sees; the first block is equal under the root
-    again = again.withColumn("block", F.expr(f"shiftrightunsigned(shiftleft(turned, cast({width} + at as int)), {64 - step})"))
-    again = again.select("rep", "turned", F.xxhash64("root", "at", "block").alias("root"))
+    # the first block is equal under the root, so the bits after it, which are as many as the block leaves, are cut once more
+    under = lambda w: F.array(*[F.struct(F.lit(s).alias("at"), _top(F.shiftleft("turned", w + s), v).alias("block")) for s, v in _blocks(64 - w, bits + 1)])
+    again = roots.join(large, "root", "left_semi").select("rep", "turned", "root", F.explode(F.when(F.col("k") < 64 % (bits + 1), under(wide)).otherwise(under(narrow))).alias("x"))
+    again = again.select("rep", "turned", F.xxhash64("root", "x.at", "x.block").alias("root"))
     return deal(small).mapInArrow(run, "a long, b long").union(deal(again).mapInArrow(_forest(bits, 0), "a long, b long"))
 
 
