@@ -98,6 +98,24 @@ def test_licences(spark, empty):
     assert scanned(empty.withColumn("path", F.lit("p"))).count() == 0
 
 
+@pytest.mark.parametrize("size", [200, 4000])
+def test_licence_scores_at_two_sizes(spark, size):
+    from waveloom.llm.licenses import scanned
+
+    rng = random.Random(13)
+    notice, words = "This project is released under the MIT License.", lambda t: re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower())
+    texts = [("This project is here. " if k % 2 else "") + prose(rng, 20) + (f"\n{notice}" if k % 50 == 3 else "\nAll rights reserved." if k % 25 == 7 else "") for k in range(size)]
+    templates = {"mit": "Released under the MIT License", "proprietary": "All rights reserved"}
+    rarity = lambda w: np.log((3 + size) / (1 + sum(w in words(t) for t in [*texts, *templates.values()]))) + 1
+    a, b = ({w: rarity(w) for w in words(t)} for t in (notice, templates["mit"]))
+    want = sum(a[w] * b[w] for w in b) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    table = spark.createDataFrame([(k, "p", t) for k, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in scanned(table, templates=templates).collect() if r["how"] == "own"}
+    assert sorted(got) == [k for k in range(size) if k % 50 == 3 or k % 25 == 7]
+    assert all(abs(r["score"] - (want if k % 50 == 3 else 1)) < 1e-5 for k, r in got.items())
+    assert {r["doc_id"]: r["licence"] for r in scanned(table).collect() if r["how"] == "own"} == {k: r["licence"] for k, r in got.items()}
+
+
 def test_simple8b_round_trip():
     from waveloom.llm.tokens import decode, encode, pack, unpack
 

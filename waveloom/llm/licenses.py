@@ -1,7 +1,8 @@
 """Licence scans: sparse TF-IDF cosine of lines to templates, then inheritance along directories.
 
 All of it is DataFrame expressions. Every line of every text that shares a telling word with a
-template is compared; words weigh by their rarity among all documents and templates. A document
+template is compared; words weigh by their rarity among all documents and templates, counted for
+each word of such lines over all documents. A document
 that is a licence file (licence lines are half of it or more) licenses its directory, and a
 document without a licence of its own takes that of the nearest ancestor directory that has one.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Licence notices as authors write them into files.
+#: Licence notices as authors write them into files; a licence may have several.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "bsd-2-clause": "Licensed under the BSD 2-Clause License",
@@ -30,7 +31,7 @@ TEMPLATES = {
     "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
     "mit": "Released under the MIT License",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "proprietary": "All rights reserved. No part may be reproduced without permission",
+    "proprietary": ("All rights reserved", "All rights reserved. No part may be reproduced without permission"),
 }
 #: Words of the templates that tell nothing by themselves.
 COMMON = "a all be by form general is may no not of part public subject terms the this to under without work source code rights form v 1 2 3 4 0 1.0 2.0 4.0 version".split()
@@ -42,7 +43,7 @@ def words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
 
 
-def scanned(files: DataFrame, threshold: float = THRESHOLD, file_share: float = FILE_SHARE, templates: dict[str, str] | None = None) -> DataFrame:
+def scanned(files: DataFrame, threshold: float = THRESHOLD, file_share: float = FILE_SHARE, templates: dict[str, str | tuple[str, ...]] | None = None) -> DataFrame:
     """(doc_id, path, licence, score, how, licensed_by) for each row of files (doc_id, path, text, ...).
 
     path is the directory of a row, with `/` between names. how is `own`, `inherited` or `none`;
@@ -51,33 +52,33 @@ def scanned(files: DataFrame, threshold: float = THRESHOLD, file_share: float =
     are ignored; an empty table gives no rows. Scores are rounded to six places.
     """
     spark = files.sparkSession
-    templates = templates or TEMPLATES
+    notices = [(name, words(t)) for name, texts in sorted((templates or TEMPLATES).items()) for t in ([texts] if isinstance(texts, str) else texts)]
     files = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    telling = sorted({w for t in templates.values() for w in words(t)} - set(COMMON))
-    vocabulary = sorted({w for t in templates.values() for w in words(t)})
-    # lines without a telling word share only common words with any template and stay below the threshold
+    vocabulary = sorted({w for _, t in notices for w in t})
+    telling = sorted(set(vocabulary) - set(COMMON))
+    # a line without a telling word shares only common words with any template and is no notice
     lines = files.select("doc_id", F.xxhash64("path", "text").alias("version"), F.explode(F.split("text", "\n")).alias("line"))
     lines = lines.where(F.col("line").rlike(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, telling)) + r")(?![\p{L}\p{N}])"))
     tokens = lines.select("doc_id", "version", F.length("line").alias("size"), F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words"))
     tokens = written(tokens.where(F.size("words") > 0).withColumn("line", F.xxhash64("words")), "lines")
     total = files.count()
-    known = F.array(*map(F.lit, vocabulary))
-    holders = tokens.select("doc_id", "version", F.explode(F.array_intersect("words", known)).alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
-    held = {r["word"]: r["n"] for r in holders.collect()}  # a row per word of the templates
-    weight = {w: math.log((1 + total + len(templates)) / (1 + held.get(w, 0) + sum(w in words(t) for t in templates.values()))) + 1 for w in vocabulary}
-    rare = math.log(1 + total + len(templates)) + 1  # of words that no template has
-    rows = []
-    for name, text in sorted(templates.items()):
-        own = words(text)
-        norm = math.sqrt(sum((own.count(w) * weight[w]) ** 2 for w in set(own)))
-        rows += [(name, w, own.count(w) * weight[w] / norm) for w in sorted(set(own))]
-    table = spark.createDataFrame(rows, "licence string, word string, part double")
-    weights = spark.createDataFrame(sorted(weight.items()), "word string, weight double")
     distinct = tokens.groupBy("line").agg(F.any_value("words").alias("words"))
     counted = distinct.select("line", F.explode("words").alias("word")).groupBy("line", "word").agg(F.count("*").alias("n"))
-    counted = counted.join(F.broadcast(weights), "word", "left").withColumn("x", F.col("n") * F.coalesce("weight", F.lit(rare)))  # the templates are a fixed table
+    ours = spark.createDataFrame([(w, sum(w in t for _, t in notices)) for w in vocabulary], "word string, forms long")
+    wanted = counted.select("word").union(ours.select("word")).distinct()
+    holders = files.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word")).groupBy("word").agg(F.count("*").alias("met"))
+    holders = written(holders.join(wanted, "word", "left_semi"), "holders")
+    held = {r["word"]: r["met"] for r in holders.join(F.broadcast(ours), "word", "left_semi").collect()}  # a row per word of the templates
+    weight = {w: math.log((1 + total + len(notices)) / (1 + held.get(w, 0) + sum(w in t for _, t in notices))) + 1 for w in vocabulary}
+    rows = []
+    for form, (name, own) in enumerate(notices):
+        norm = math.sqrt(sum((own.count(w) * weight[w]) ** 2 for w in set(own)))
+        rows += [(form, name, w, own.count(w) * weight[w] / norm) for w in sorted(set(own))]
+    table = spark.createDataFrame(rows, "form int, licence string, word string, part double")
+    rarity = F.log(F.lit(float(1 + total + len(notices))) / (1 + F.col("met") + F.coalesce("forms", F.lit(0)))) + 1
+    counted = counted.join(holders, "word").join(F.broadcast(ours), "word", "left").select("line", "word", (F.col("n") * rarity).alias("x"))  # the templates are a fixed table
     norms = counted.groupBy("line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = counted.where("weight is not null").join(F.broadcast(table), "word").groupBy("line", "licence").agg(F.sum(F.col("x") * F.col("part")).alias("dot"))
+    dots = counted.join(F.broadcast(table), "word").groupBy("line", "form", "licence").agg(F.sum(F.col("x") * F.col("part")).alias("dot"))
     best = dots.join(norms, "line").select("line", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
     best = best.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("x"))
     best = best.select("line", F.col("x.licence").alias("licence"), (-F.col("x.s")).alias("score"))
