@@ -318,6 +318,25 @@ def test_embeddings(spark):
     assert near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_lose_no_link(spark):
+    from waveloom.llm import embeddings
+
+    rng = np.random.default_rng(18)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    base = np.repeat(unit(rng.normal(size=(1500, 16))), 3, 0)
+    side = unit((x := rng.normal(size=base.shape)) - (x * base).sum(1)[:, None] * base)
+    vecs = np.concatenate([base[::3], 0.901 * base + np.sqrt(1 - 0.901**2) * side])
+    want = (vecs @ vecs.T >= 0.9) & ~np.eye(len(vecs), dtype=bool)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(table, cell=15, block=2000).collect()}
+    assert [got[k] for k in range(len(vecs))] == want.sum(1).tolist()
+    # and the cells alone: each pair meets in one
+    centres = embeddings.fit_centres(vecs, 400)
+    met = np.zeros((len(vecs), len(centres)), bool)
+    met[embeddings._visits(vecs, centres, 0.9)] = True
+    assert not met.all() and all((met[i] & met[j]).any() for i, j in zip(*np.nonzero(want), strict=True))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -1,9 +1,10 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products, one kept per group.
 
 Equal vectors are folded into one row first, with their number. A vector is compared in the
-cell of its nearest centre and, as a guest, in each further cell whose centre is at most `margin`
-farther in cosine; two vectors with cosine >= 0.9 lie so close that their nearest centres are
-almost always among each other's. Cells are dealt out as pairs of bounded blocks, so a crowded
+cell of its nearest centre and, as a guest, in each further cell that may be the own one of a
+partner that is no farther from its centre: so each pair within the threshold meets in a cell,
+and no link is lost. Where vectors would be dealt out more often by cells than by plain blocks,
+all of them are one cell. Cells are dealt out as pairs of bounded blocks, so a crowded
 cell is many tasks of bounded memory. Links are counted in place and only a spanning forest of
 them leaves a task.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import components, min_labels, partitions, small_batches, written
 
-THRESHOLD, MARGIN, CELL, BLOCK, TILE = 0.9, 0.15, 2048, 8192, 1024
+THRESHOLD, CELL, BLOCK, TILE = 0.9, 2048, 8192, 1024
 #: The k-means fit sees at most so many vectors and has at most so many centres.
 SAMPLE, CENTRES, ROUNDS, SEED = 20_000, 4096, 8, 7
 
@@ -45,13 +46,24 @@ def _unit(vecs: np.ndarray) -> np.ndarray:
     return vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
 
 
-def _visits(vecs: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) of every cell that a row is compared in."""
+def _visits(vecs: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of every cell that a row is compared in.
+
+    Of two vectors within the angle t of the threshold, let v be at angle b to its nearest centre
+    and the other at most as far from its own one, c. Then c is within b + t of v, and v is within
+    t of the plane between both centres.
+    """
     cos = vecs @ centres.T
-    return np.nonzero(cos >= cos.max(1)[:, None] - margin)
+    home = cos.argmax(1)
+    best = cos[np.arange(len(cos)), home][:, None]
+    reach = np.arccos(np.clip(threshold, -1, 1))
+    near = np.cos(np.minimum(np.arccos(np.clip(best, -1, 1)) + reach, np.pi))
+    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))[home]
+    within = best - cos <= apart * np.sin(min(reach, np.pi / 2)) + 1e-6
+    return np.nonzero((cos >= near - 1e-6) & within)
 
 
-def _counts(centres: np.ndarray, margin: float, kind: str):
+def _counts(centres: np.ndarray, threshold: float, kind: str):
     """Arrow function: rows per cell."""
     import pyarrow as pa
 
@@ -60,14 +72,14 @@ def _counts(centres: np.ndarray, margin: float, kind: str):
         for b in batches:
             if b.num_rows:
                 v = _unit(np.frombuffer(b"".join(b.column("v").to_pylist()), kind).reshape(b.num_rows, -1))
-                total += np.bincount(_visits(v, centres, margin)[1], minlength=len(centres))
+                total += np.bincount(_visits(v, centres, threshold)[1], minlength=len(centres))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "rows"])
 
     return run
 
 
-def _dealt(centres: np.ndarray, margin: float, blocks: np.ndarray, kind: str):
+def _dealt(centres: np.ndarray, threshold: float, blocks: np.ndarray, kind: str):
     """Arrow function: a row for each cell and pair of its blocks that a vector takes part in."""
     import pyarrow as pa
 
@@ -76,7 +88,7 @@ def _dealt(centres: np.ndarray, margin: float, blocks: np.ndarray, kind: str):
             if not b.num_rows:
                 continue
             rep, n, raw = b.column("rep").to_numpy(), b.column("n").to_numpy(), b.column("v").to_pylist()
-            row, cell = _visits(_unit(np.frombuffer(b"".join(raw), kind).reshape(len(rep), -1)), centres, margin)
+            row, cell = _visits(_unit(np.frombuffer(b"".join(raw), kind).reshape(len(rep), -1)), centres, threshold)
             bound = np.searchsorted(row, np.arange(len(rep) + 1))
             seen = [cell[s:e].astype("<u2").tobytes() for s, e in zip(bound[:-1], bound[1:], strict=True)]
             times = blocks[cell]
@@ -136,7 +148,7 @@ def _bytes(kind: str):
     return run
 
 
-def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, cell: int = CELL, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of table (vec_id, embedding, ...).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing;
@@ -157,14 +169,17 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, margin: floa
     links = None
     for d in sizes:
         own = distinct.where(F.length("v") == d).select("rep", "n", "v")
-        k = int(min(CENTRES, max(1, own.count() // cell)))
+        total = own.count()
+        k = int(min(CENTRES, max(1, total // cell)))
         seen = own.orderBy(F.xxhash64("rep")).limit(sample).select("v").toArrow().column("v").to_pylist()
         centres = fit_centres(_unit(np.frombuffer(b"".join(seen), kind).reshape(len(seen), -1)), k)
         own = own.repartition(partitions(spark))
         rows_of = np.ones(len(centres), np.int64)
-        for r in own.mapInArrow(_counts(centres, margin, kind), "cell long, rows long").groupBy("cell").agg(F.sum("rows").alias("rows")).collect():  # a row per cell, at most CENTRES
+        for r in own.mapInArrow(_counts(centres, threshold, kind), "cell long, rows long").groupBy("cell").agg(F.sum("rows").alias("rows")).collect():  # a row per cell, at most CENTRES
             rows_of[r["cell"]] = r["rows"]
-        dealt = own.mapInArrow(_dealt(centres, margin, -(-rows_of // block), kind), "cell long, x long, y long, block long, rep long, n long, seen binary, v binary")
+        if (rows_of * -(-rows_of // block)).sum() > total * -(-total // block):
+            centres, rows_of = centres[:1], np.array([total])
+        dealt = own.mapInArrow(_dealt(centres, threshold, -(-rows_of // block), kind), "cell long, x long, y long, block long, rep long, n long, seen binary, v binary")
         found = dealt.groupBy("cell", "x", "y").applyInArrow(_compare(threshold, len(centres), kind), "rep long, links long, other long")
         links = found if links is None else links.union(found)
     if links is None:
