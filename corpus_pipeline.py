@@ -40,7 +40,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return tokens.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
 STAGES = [

@@ -148,6 +148,22 @@ def test_token_ids(docs, rows, empty):
     assert round_trip(empty, path).count() == 0
 
 
+def test_token_ids_of_the_library(rows):
+    import inspect
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from waveloom.llm.tokens import PieceEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [t or "" for _, t, _ in rows] + ["a<|endoftext|>b c"] + [f"a{c}1{c}!{c} b" for c in "\u088f\ua7ce\U00010940"]
+    encoder = PieceEncoder(path, special=True) if "special" in inspect.signature(PieceEncoder).parameters else PieceEncoder(path)
+    ids, bounds = encoder.encode(texts)
+    tokenizer = Tokenizer.from_file(path)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("group", [500, 1 << 20])
 def test_repeated_passages(docs, rows, empty, group):
     from waveloom.llm.suffix import repeated

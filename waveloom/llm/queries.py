@@ -36,7 +36,7 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .tokens import round_trip
 
-    return round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

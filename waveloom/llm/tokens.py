@@ -26,6 +26,16 @@ ESCAPE, BLOCK = 15, 240
 _BITS = np.array([k.bit_length() for k in range(65536)], np.int8)
 #: Fixed value: where the byte-level pre-tokenizer cuts.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: code points of which the tokenizer's own tables of letters and numbers and those of `regex` differ.
+UNLIKE = (
+    r"\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F"
+    r"\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D"
+    r"\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DF1"
+    r"\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF3\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2"
+    r"\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81"
+    r"\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4"
+    r"\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+)
 #: Pieces of text whose ids a worker remembers.
 REMEMBER = 600_000
 
@@ -162,23 +172,26 @@ class PieceEncoder:
 
     A space between two characters that are not white space is where the byte-level
     pre-tokenizer cuts, and the next piece begins with that space, so such pieces encode on their
-    own. Texts with other runs of white space that hold a space are encoded whole. What is
+    own. Texts with other runs of white space that hold a space are encoded whole, and so are those
+    with a code point that is cut unlike and, if `special`, with an added token, which then is one id
+    as in the library's own setting; else it is text like any other. What is
     remembered is bounded; past the bound the older half stays, which holds the frequent pieces.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import re
 
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.cut, self.model = regex.compile(CUTS).findall, self.tokenizer.model.tokenize
         byte = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.letters = {k: byte(chr(k))[-1][0][-1] for k in range(128)}
         self.letters |= {k: _letter(k) for k in range(128, 256)}
-        self.whole = re.compile(r"\s | \s|^ | $")
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and (special or not t.special)]
+        self.whole = re.compile("|".join([r"\s | \s|^ | $", f"[{UNLIKE}]", *added]))
         self.begin()
 
     def forget(self) -> None:
@@ -273,15 +286,15 @@ class PieceEncoder:
         return out, bounds
 
 
-_KEPT: dict[str, PieceEncoder] = {}
+_KEPT: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def _encoder(path: str) -> PieceEncoder:
+def _encoder(path: str, special: bool) -> PieceEncoder:
     """One encoder for each Python worker, kept from task to task."""
-    if path not in _KEPT:
+    if (path, special) not in _KEPT:
         _KEPT.clear()
-        _KEPT[path] = PieceEncoder(path)
-    return _KEPT[path]
+        _KEPT[path, special] = PieceEncoder(path, special)
+    return _KEPT[path, special]
 
 
 def pack(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -315,14 +328,14 @@ def unpack(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return decode(np.concatenate(words), np.r_[0, np.concatenate(ends)], np.concatenate(lengths)), np.r_[0, np.cumsum(counts)]
 
 
-def encoded(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
+def encoded(docs: DataFrame, path: str, end: int = 0, special: bool = False) -> DataFrame:
     """(doc_id, n_tokens, payload) for each row of docs; null texts count as empty."""
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
 
     def run(batches):
-        encoder = _encoder(path)
+        encoder = _encoder(path, special)
         for b in batches:
             texts = b.column("text").to_pylist()
             ids, bounds = encoder.encode(texts, end)
@@ -331,7 +344,7 @@ def encoded(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, payload binary")
 
 
-def write_ids(docs: DataFrame, tokenizer: str, out: str, end: int = 0) -> None:
+def write_ids(docs: DataFrame, tokenizer: str, out: str, end: int = 0, special: bool = False) -> None:
     """Write docs (doc_id, text) as Simple-8b payloads in ascending doc_id order to the dataset `out`.
 
     The part files ascend too: each has a `part` number and ids of a range of doc_id. Equal ids
@@ -342,7 +355,7 @@ def write_ids(docs: DataFrame, tokenizer: str, out: str, end: int = 0) -> None:
     # the ranges come from the ids alone, so that texts are encoded once and not for a sample as well
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
     part = F.size(F.filter(F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    coded = encoded(docs, tokenizer, end).repartitionById(n, F.greatest(part, F.lit(0))).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    coded = encoded(docs, tokenizer, end, special).repartitionById(n, F.greatest(part, F.lit(0))).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     coded.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).write.parquet(out)
 
 
@@ -373,8 +386,8 @@ def read_ids(spark, path: str) -> DataFrame:
     return got.withColumn("_in", F.coalesce(inside, F.lit(0))).join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end: int = 0, special: bool = False) -> DataFrame:
     """Write docs to a dataset in the shared folder and read the digest of its ids back."""
     out = scratch_path(docs.sparkSession, "simple8b")
-    write_ids(docs, tokenizer, out, end)
+    write_ids(docs, tokenizer, out, end, special)
     return read_ids(docs.sparkSession, out)
