@@ -5,7 +5,7 @@ A grid is (f, t, s_db) under a capture key; a box is a rectangle with inclusive
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveloom.functions.columns import cfar_threshold_db
@@ -61,41 +61,59 @@ def closed_opened(cells: DataFrame) -> DataFrame:
     return dilate(erode(erode(dilate(cells, three, three), three, three), back, back), on, on)
 
 
-def _bucketed_pairs(boxes: DataFrame, reach: int, width: int) -> DataFrame:
-    """Pairs of boxes (a before b by id) of one capture within `reach` steps in time, through time buckets."""
-    span = F.explode(F.sequence(F.floor((F.col("t0") - reach) / width), F.floor((F.col("t1") + reach) / width)))
-    own = boxes.withColumn("bucket", span)
-    a, b = own.select([F.col(c).alias(f"a_{c}") for c in own.columns]), own.select([F.col(c).alias(f"b_{c}") for c in own.columns])
-    pairs = a.join(b, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_id") < F.col("b_id")))
-    return pairs.dropDuplicates(["a_id", "b_id"])
+def _bucketed_pairs(boxes: DataFrame, reach_f, reach_t: int, wide_f: int, wide_t: int, b_columns: list[str], test: Column) -> DataFrame:
+    """Pairs (a_..., b_...) of boxes for which test holds, where b lies within reach of a on both axes.
+
+    Boxes meet in buckets of wide_f by wide_t; a is enlarged by its reach. A pair counts in the first
+    bucket that both are in, so no pair comes twice and nothing is shuffled after the join.
+    """
+    span = lambda lo, hi, wide: F.sequence(F.floor(lo / wide), F.floor(hi / wide))
+    sides = []
+    for side, columns, rf, rt in (("a", boxes.columns, reach_f, reach_t), ("b", b_columns, F.lit(0), 0)):
+        f, t = span(F.col("f0") - rf, F.col("f1") + rf, wide_f), span(F.col("t0") - rt, F.col("t1") + rt, wide_t)
+        own = boxes.select(*[F.col(c).alias(f"{side}_{c}") for c in columns], f.alias("_f"), t.alias("_t")).withColumn(f"{side}_of", F.element_at("_f", 1)).withColumn(f"{side}_ot", F.element_at("_t", 1))
+        sides.append(own.withColumn("bf", F.explode("_f")).withColumn("bt", F.explode("_t")).drop("_f", "_t"))
+    first = (F.col("bf") == F.greatest("a_of", "b_of")) & (F.col("bt") == F.greatest("a_ot", "b_ot"))
+    return sides[0].join(sides[1], ["bf", "bt"]).where(first & test)
 
 
 def _gap(a0, a1, b0, b1):
     return F.greatest(F.lit(0), F.col(a0) - F.col(b1), F.col(b0) - F.col(a1))
 
 
-def merge_links(boxes: DataFrame, gap: int = 3, width: int = 64) -> DataFrame:
+def merge_links(boxes: DataFrame, gap: int = 3, wide_f: int = 16, wide_t: int = 16) -> DataFrame:
     """(a, b) ids of boxes (id, f0, f1, t0, t1) to merge: they overlap on one axis and lie less than `gap` apart on the other."""
     ft, ff = _gap("a_t0", "a_t1", "b_t0", "b_t1"), _gap("a_f0", "a_f1", "b_f0", "b_f1")
-    return _bucketed_pairs(boxes, gap, width).where(((ff == 0) & (ft < gap)) | ((ft == 0) & (ff < gap))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-
-
-def components(links: DataFrame, nodes: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """(id, root): smallest id reachable over links (a, b), by rounds of grouped minima with shortcuts."""
-    spark = nodes.sparkSession
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    now, before = nodes.select("id", F.col("id").alias("root")), None
+    near = ((ff == 0) & (ft < gap)) | ((ft == 0) & (ff < gap))
+    own = boxes.select("id", "f0", "f1", "t0", "t1")
+    pairs = _bucketed_pairs(own, F.lit(gap), gap, wide_f, wide_t, own.columns, (F.col("a_id") < F.col("b_id")) & near)
+    return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
+def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, root): smallest id reachable over links (a, b); nodes without links are their own root.
+
+    Rounds of large-star and small-star: every node hands its larger, then its smaller neighbours
+    the least one it knows, so links shrink to stars in a number of rounds that grows with the
+    logarithm of the longest chain. Each round is written by `checkpoint` where the session has a
+    folder for it (else the plan of all rounds is one). The links are worked out once.
+    """
+    kept = links.sparkSession.conf.get("spark.checkpoint.dir", None)
+    hold = lambda df: df.checkpoint() if kept else df.persist()
+    now = hold(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    seen = None
     while True:
-        near = both.join(now, both["b"] == now["id"]).groupBy("a").agg(F.min("root").alias("m"))
-        now = now.join(near, now["id"] == near["a"], "left").select("id", F.least("root", F.coalesce("m", "root")).alias("root"))
-        up = now.select(F.col("id").alias("_i"), F.col("root").alias("_r"))
-        now = now.join(up, now["root"] == up["_i"]).select("id", F.col("_r").alias("root"))
-        if checkpoint and spark.conf.get("spark.checkpoint.dir", None):
-            now = now.checkpoint()
-        total = now.agg(F.sum("root")).first()[0]
-        if total == before:
-            return now
-        before = total
+        mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+        if mark == seen or not mark[0]:
+            break
+        seen = mark
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(down, "a").select("b", "m").union(down.select(F.col("a").alias("b"), "m"))
+        now = hold(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+    return nodes.select("id").join(now.select(F.col("a").alias("id"), F.col("b").alias("_r")), "id", "left").select("id", F.coalesce("_r", "id").alias("root"))
 
 
 def merged(boxes: DataFrame, gap: int = 3) -> DataFrame:
@@ -104,13 +122,13 @@ def merged(boxes: DataFrame, gap: int = 3) -> DataFrame:
     return boxes.join(roots, "id").groupBy("root").agg(F.min("f0").alias("f0"), F.max("f1").alias("f1"), F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("npix").alias("npix"), F.max("peak_db").alias("peak_db"), F.count("*").alias("n_boxes"))
 
 
-def without_leakage(boxes: DataFrame, margin_db: float = 20.0, span: float = 2.0, width: int = 64) -> DataFrame:
+def without_leakage(boxes: DataFrame, margin_db: float = 20.0, span: float = 2.0, wide_f: int = 16, wide_t: int = 16) -> DataFrame:
     """Boxes without those that a much stronger box beside them explains."""
-    every = F.explode(F.sequence(F.floor(F.col("t0") / width), F.floor(F.col("t1") / width)))
-    a = boxes.withColumn("bucket", every).select([F.col(c).alias(f"a_{c}") for c in [*boxes.columns, "bucket"]])
-    b = boxes.withColumn("bucket", every).select([F.col(c).alias(f"b_{c}") for c in ("id", "f0", "f1", "t0", "t1", "peak_db", "bucket")])
     wide = F.col("a_f1") - F.col("a_f0") + 1
-    gone = a.join(b, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_id") != F.col("b_id")) & (F.col("a_peak_db") - F.col("b_peak_db") > margin_db) & (F.col("a_t0") <= F.col("b_t1")) & (F.col("b_t0") <= F.col("a_t1")) & (_gap("a_f0", "a_f1", "b_f0", "b_f1") <= span * wide) & (F.col("b_f1") - F.col("b_f0") + 1 <= wide))
+    stronger = (F.col("a_id") != F.col("b_id")) & (F.col("a_peak_db") - F.col("b_peak_db") > margin_db) & (F.col("a_t0") <= F.col("b_t1")) & (F.col("b_t0") <= F.col("a_t1"))
+    beside = (_gap("a_f0", "a_f1", "b_f0", "b_f1") <= span * wide) & (F.col("b_f1") - F.col("b_f0") + 1 <= wide)
+    own = boxes.select("id", "f0", "f1", "t0", "t1", "peak_db")
+    gone = _bucketed_pairs(own, F.ceil(span * (F.col("f1") - F.col("f0") + 1)), 0, wide_f, wide_t, own.columns, stronger & beside)
     return boxes.join(gone.select(F.col("b_id").alias("id")).distinct(), "id", "left_anti")
 
 

@@ -262,8 +262,10 @@ def hopping_windows(spark, d):
 @query(f"""WITH {ISLANDS}, a AS (SELECT row_number() OVER (ORDER BY f, t0) AS id, * FROM islands) SELECT f, count(*) AS truths, count(*) FILTER (EXISTS (SELECT 1 FROM islands o WHERE o.f <> a.f AND o.t0 <= a.t1 AND a.t0 <= o.t1)) AS found FROM a GROUP BY f""")
 def truth_overlap(spark, d):
     own = grids.islands(grids.active(_grid(spark, d), MARGIN_DB))
-    other = own.select(F.col("f").alias("of"), F.explode(F.sequence("t0", "t1")).alias("at"))
-    near = own.select("f", "t0", "t1", F.explode(F.sequence("t0", "t1")).alias("at")).join(other, "at").where("f <> of").select("f", "t0", "t1").distinct().withColumn("hit", F.lit(1))
+    # an island is found if some hour of it is active in another bin: hours with two bins or more, at most one row each
+    shared = own.select("f", F.explode(F.sequence("t0", "t1")).alias("at")).distinct().groupBy("at").count().where("count > 1").select("at")
+    hours = own.select("f", "t0", "t1", F.explode(F.sequence("t0", "t1")).alias("at")).join(shared, "at", "left_semi")
+    near = hours.select("f", "t0", "t1").distinct().withColumn("hit", F.lit(1))
     return own.join(near, ["f", "t0", "t1"], "left").groupBy("f").agg(F.count("*").alias("truths"), F.count("hit").alias("found"))
 
 
@@ -458,7 +460,7 @@ def stream_sessions(spark, d):
 
     from waveloom.streaming.events import drained, session_totals, stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/waveloom-stream"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     out = f"{base}/stream-{uuid.uuid4().hex}"
     own = _table(spark, d, "events")
     single = own.inputFiles()[0].endswith("/events.parquet")  # one file, or a folder of part files
