@@ -28,46 +28,48 @@ _BITS = np.array([k.bit_length() for k in range(65536)], np.int8)
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: code points of which the tokenizer's own tables of letters and numbers and those of `regex` differ.
 UNLIKE = (
-    r"\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F"
-    r"\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D"
-    r"\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DF1"
-    r"\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF3\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2"
-    r"\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81"
-    r"\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4"
-    r"\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+    "\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F"
+    "\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D"
+    "\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DF1"
+    "\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF3\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2"
+    "\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81"
+    "\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4"
+    "\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
 )
+#: Fixed value: white space as the pre-tokenizer knows it.
+WHITE = "\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Pieces of text whose ids a worker remembers.
 REMEMBER = 600_000
 
 
-def _fit(ids: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each position: the selector of the fullest word that may begin there, and how many ids it takes.
+def _need(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id."""
+    need = _BITS[np.minimum(ids, np.uint64(65535)).astype(np.int64)]
+    large = np.flatnonzero(ids > np.uint64(65535))
+    need[large] = [int(x).bit_length() for x in ids[large]]
+    return need
+
+
+def _fullest(need: np.ndarray, at: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position of at: the selector of the fullest word that may begin there, and how many ids it takes.
 
     left is the number of ids from the position to the end of its block; a word never crosses it.
     A word may be filled short at a block's end only by a selector whose count is what is left or
-    more, so the last word is padded with zeros.
+    more, so the last word is padded with zeros. Counts rise as widths fall, so once a count
+    doesn't fit no greater one does.
     """
-    n = len(ids)
-    need = _BITS[np.minimum(ids, np.uint64(65535)).astype(np.int64)]
-    large = np.flatnonzero(ids > np.uint64(65535))
-    need[large] = [int(x).bit_length() for x in ids[large]]
-    left = left.astype(np.int16)
-    selector, takes, top = np.full(n, ESCAPE, np.int8), np.ones(n, np.int64), need.copy()
-    reach = 1  # top[i] is the largest need of `reach` ids from i, or to the block's end
-    runs = {}
-    wanted = sorted({int(c) for c in COUNTS if c <= BLOCK})
-    for c in wanted:
-        while reach < c:
-            step = min(reach, c - reach)
-            ahead = np.zeros_like(top)
-            ahead[: max(0, n - step)] = top[step:]
-            ahead *= left > step
-            top = np.maximum(top, ahead)
-            reach += step
-        runs[c] = top.copy() if c < wanted[-1] else top
+    selector, takes = np.full(len(at), ESCAPE, np.int64), np.ones(len(at), np.int64)
+    k, top, reach = np.arange(len(at)), need[at], 1
     for s in range(len(COUNTS) - 1, -1, -1):
-        fits = runs[int(COUNTS[s])] <= WIDTHS[s]
-        selector[fits], takes[fits] = s, np.minimum(COUNTS[s], left[fits])
+        for j in range(reach, min(int(COUNTS[s]), int(left.max()))):
+            top = np.maximum(top, np.where(left > j, need[np.minimum(at + j, len(need) - 1)], 0))
+        reach = int(COUNTS[s])
+        fits = top <= WIDTHS[s]
+        if not fits.all():
+            k, top, at, left = k[fits], top[fits], at[fits], left[fits]
+        if not len(k):
+            break
+        selector[k], takes[k] = s, np.minimum(reach, left)
     return selector, takes
 
 
@@ -86,19 +88,16 @@ def encode(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     end = np.minimum(start + BLOCK, np.repeat(bounds[1:], blocks))
     if not len(ids):
         return np.zeros(0, np.uint64), np.zeros(len(start) + 1, np.int64), first
-    left = np.repeat(end, end - start) - np.arange(len(ids))
-    selector, takes = _fit(ids, left)
-    at, heads, block = start.copy(), [], []
-    live = np.arange(len(start))
+    need = _need(ids)
+    at, live, found = start.copy(), np.arange(len(start)), []
     while len(live):  # the k-th word of every block together
-        heads.append(at[live])
-        block.append(live)
-        at[live] += takes[at[live]]
+        selector, takes = _fullest(need, at[live], end[live] - at[live])
+        found.append((at[live], live, selector, takes))
+        at[live] += takes
         live = live[at[live] < end[live]]
-    heads, block = np.concatenate(heads), np.concatenate(block)
+    heads, block, sel, take = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(heads, kind="stable")
-    heads, block = heads[order], block[order]
-    sel, take = selector[heads].astype(np.int64), takes[heads]
+    heads, block, sel, take = heads[order], block[order], sel[order], take[order]
     size = np.where(sel == ESCAPE, 2, 1)
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
@@ -149,17 +148,48 @@ def decode(words: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> np.nd
     return out
 
 
-class _Pieces(dict):
-    """Numbers of the pieces of text seen so far; new ones are noted for encoding."""
+class _Seen(dict):
+    """Numbers of the strings seen so far, and the ids of each; new strings are noted until their ids are told."""
 
     def __init__(self):
         self.new: list[str] = []
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def __missing__(self, piece):
         self[piece] = number = len(self)
         self.new.append(piece)
         return number
 
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+
+    def tell(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of the new strings, one after the other."""
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while len(self) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.pool[self.used : self.used + len(flat)] = flat
+        begin = len(self) - len(self.new)
+        self.start[begin : len(self)] = self.used + np.cumsum(sizes) - sizes
+        self.size[begin : len(self)] = sizes
+        self.used += len(flat)
+        self.new = []
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of numbered strings in a row, and how many each has."""
+        size = self.size[numbers]
+        return self.pool[np.repeat(self.start[numbers] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+    def halved(self) -> _Seen:
+        """The older half, which holds the frequent strings."""
+        out = _Seen()
+        out.update(islice(self.items(), len(self) // 2))
+        out.used = int(self.start[len(out)])
+        out.pool, out.start, out.size = self.pool[: max(out.used, 1)].copy(), self.start[: len(out) + 1].copy(), self.size[: len(out) + 1].copy()
+        return out
+
 
 def _letter(byte: int) -> str:
     """The visible character by which byte-level vocabularies write a byte above 127."""
@@ -167,125 +197,155 @@ def _letter(byte: int) -> str:
     return chr(256 + hidden.index(byte)) if byte in hidden else chr(byte)
 
 
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of values, counts of them each."""
+    total = np.r_[0, np.cumsum(values)]
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
 class PieceEncoder:
     """The tokenizer over pieces that it never joins, each encoded once.
 
     A space between two characters that are not white space is where the byte-level
     pre-tokenizer cuts, and the next piece begins with that space, so such pieces encode on their
-    own. Texts with other runs of white space that hold a space are encoded whole, and so are those
-    with a code point that is cut unlike and, if `special`, with an added token, which then is one id
-    as in the library's own setting; else it is text like any other. What is
+    own. Texts with a code point that is cut unlike and, if `special`, with an added token, which
+    then is one id as in the library's own setting (else it is text like any other), are encoded
+    whole, and so is every text if the file's tokenizer is no plain byte-level BPE. What is
     remembered is bounded; past the bound the older half stays, which holds the frequent pieces.
     """
 
     def __init__(self, path: str, special: bool = False):
-        import re
+        import json
 
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
+        form = json.loads(self.tokenizer.to_str())
+        cutter, model = form["pre_tokenizer"] or {}, form["model"]
+        plain = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True) and not form["normalizer"] and not form["truncation"] and not form["padding"]
+        self.plain = plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        if not self.plain:
+            return
         self.cut, self.model = regex.compile(CUTS).findall, self.tokenizer.model.tokenize
+        self.split = regex.compile(r"(?<=\S) (?=\S)").split
         byte = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.letters = {k: byte(chr(k))[-1][0][-1] for k in range(128)}
         self.letters |= {k: _letter(k) for k in range(128, 256)}
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and (special or not t.special)]
-        self.whole = re.compile("|".join([r"\s | \s|^ | $", f"[{UNLIKE}]", *added]))
-        self.begin()
-
-    def forget(self) -> None:
-        """Keep the older half of the pieces."""
-        keep = len(self.after) // 2
-        self.used = int(self.start[1][keep])
-        old, self.after, self.first = self.after, _Pieces(), _Pieces()
-        self.after.update(islice(old.items(), keep))
-        self.parts = dict(islice(self.parts.items(), REMEMBER // 4))
-
-    def begin(self) -> None:
-        self.after, self.first, self.parts = _Pieces(), _Pieces(), {}
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start = [np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)]
-        self.size = [np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)]
-
-    def _ids(self, piece: str) -> list[int]:
-        parts, out = self.parts, []
-        for part in self.cut(piece):
-            got = parts.get(part)
-            if got is None:
-                plain = part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
-                got = parts[part] = tuple([t.id for t in self.model(plain)])
-            out += got
-        return out
-
-    def _learn(self, which: int, table: _Pieces, space: str) -> None:
-        if not table.new:
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and (special or not t.special)]
+        self.after, self.parts = _Seen(), _Seen()
+
+    def _part(self, part: str) -> list[int]:
+        plain = part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model(plain)]
+
+    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, and how many each has."""
+        numbers = self.parts.numbers(parts)
+        if self.parts.new:
+            gc.disable()  # many small objects that all stay: nothing to collect meanwhile
+            try:
+                ids = [self._part(p) for p in self.parts.new]
+            finally:
+                gc.enable()
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.parts.tell(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+        return self.parts.ids(numbers)
+
+    def _learn(self, alone: bool) -> None:
+        """The ids of new pieces, each behind a space, which are cut one by one or all in one go: at each space between them."""
+        new = self.after.new
+        if not new:
             return
-        gc.disable()  # many small objects that all stay: nothing to collect meanwhile
-        try:
-            ids = [self._ids(space + p) for p in table.new]
-        finally:
-            gc.enable()
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        begin = len(table) - len(ids)
-        while len(table) > len(self.start[which]):
-            self.start[which], self.size[which] = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start[which], self.size[which]))
-        self.start[which][begin : len(table)] = self.used + np.cumsum(sizes) - sizes
-        self.size[which][begin : len(table)] = sizes
-        self.used += len(flat)
-        table.new = []
-
-    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, each closed by `end`, and the bounds of the texts."""
-        if len(self.after) > REMEMBER:
-            self.forget()
-        fast, look = self.after.__getitem__, self.whole.search
-        starts, sizes, which, odd = [], [], [], {}
-        for k, text in enumerate(texts):
-            if not text:
-                which.append((0, 0))
-                continue
-            if look(text):
-                odd[k] = self.tokenizer.encode(text, add_special_tokens=False).ids
-                which.append((0, 0))
-                continue
-            pieces = text.split(" ")
-            starts.append((self.first[pieces[0]], np.fromiter(map(fast, pieces[1:]), np.int64, len(pieces) - 1)))
-            which.append((1, len(pieces)))
-        self._learn(0, self.first, "")
-        self._learn(1, self.after, " ")
-        head = np.array([s[0] for s in starts], np.int64)
-        rest = np.concatenate([s[1] for s in starts]) if starts else np.zeros(0, np.int64)
-        counts = np.array([len(s[1]) for s in starts], np.int64)
-        lead = np.cumsum(counts + 1) - counts - 1
-        begin, size = np.zeros(len(head) + len(rest), np.int64), np.zeros(len(head) + len(rest), np.int64)
-        tail = np.ones(len(begin), bool)
-        tail[lead] = False
-        begin[lead], size[lead] = self.start[0][head], self.size[0][head]
-        begin[tail], size[tail] = self.start[1][rest], self.size[1][rest]
-        ids = self.pool[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        ends = np.cumsum(size)
-        per = np.zeros(len(texts), np.int64)
-        plain = np.array([k for k, w in enumerate(which) if w[0]], np.int64)
-        if len(plain):
-            last = ends[lead + counts]
-            per[plain] = np.diff(np.r_[0, last])
-        for k, got in odd.items():
-            per[k] = len(got)
-        extra = 0 if end is None else 1
-        bounds = np.r_[0, np.cumsum(per + extra)]
+        if alone:
+            cuts = [self.cut(" " + p) for p in new]
+            parts, counts = list(chain.from_iterable(cuts)), np.fromiter(map(len, cuts), np.int64, len(cuts))
+        else:
+            parts = self.cut(" " + " ".join(new))
+            head = np.fromiter((p[0] == " " for p in parts), bool, len(parts))
+            counts = np.diff(np.r_[np.flatnonzero(head), len(parts)])
+        ids, size = self._ids(parts)
+        self.after.tell(ids, _sums(size, counts))
+
+    def _pieces(self, flat, counts: np.ndarray, odd: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts given as pieces, counts of them each (one at least), and how many each text has."""
+        coded = flat.dictionary_encode()
+        coded = coded.combine_chunks() if hasattr(coded, "combine_chunks") else coded
+        index, lead = coded.indices.to_numpy(), np.cumsum(counts) - counts
+        rest = np.ones(len(index), bool)
+        rest[lead] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[index[rest]] = True
+        known = np.zeros(len(used), np.int64)
+        words, where = coded.dictionary.take(_array(np.flatnonzero(used))).to_pylist(), np.flatnonzero(used)
+        apart = np.fromiter((odd or w[-1:].isspace() for w in words), bool, len(words))  # these may be cut otherwise before another piece
+        for alone in (False, True):
+            if (apart == alone).any():
+                known[where[apart == alone]] = self.after.numbers([w for w, x in zip(words, apart.tolist(), strict=True) if x == alone] if apart.any() else words)
+                self._learn(alone)
+        cuts = [self.cut(p) for p in flat.take(_array(lead)).to_pylist()]  # the first piece of a text has no space before it
+        first, size = self._ids(list(chain.from_iterable(cuts)))
+        begun = _sums(size, np.fromiter(map(len, cuts), np.int64, len(cuts)))
+        ids, size = self.after.ids(known[index[rest]])
+        per = _sums(size, counts - 1)
+        out = np.empty(len(first) + len(ids), np.uint32)
+        opens = np.zeros(len(out), bool)
+        at = np.cumsum(begun + per) - begun - per
+        opens[np.repeat(at - (np.cumsum(begun) - begun), begun) + np.arange(begun.sum())] = True
+        out[opens], out[~opens] = first, ids
+        return out, begun + per
+
+    def encode(self, texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (an Arrow array or a list) in a row, each closed by `end`, and the bounds of the texts."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = pc.fill_null((texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())).cast(pa.large_string()), "")
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        n = len(column)
+        empty = pc.equal(column, "").to_numpy(zero_copy_only=False)
+        whole, odd = ~empty, np.zeros(n, bool)
+        if self.plain and n:
+            if len(self.after) > REMEMBER:
+                self.after = self.after.halved()
+            if len(self.parts) > REMEMBER:
+                self.parts = self.parts.halved()
+            whole = pc.match_substring_regex(column, f"[{UNLIKE}]").to_numpy(zero_copy_only=False)
+            for token in self.added:
+                whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+            odd = pc.match_substring_regex(column, f"[{WHITE}] | [{WHITE}]|^ | $").to_numpy(zero_copy_only=False) & ~whole
+        parts = []
+        rows = np.flatnonzero(whole)
+        if len(rows):
+            got = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in column.take(_array(rows)).to_pylist()]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            parts.append((rows, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes))
+        rows = np.flatnonzero(odd)
+        if len(rows):
+            got = [self.split(t) for t in column.take(_array(rows)).to_pylist()]
+            parts.append((rows, *self._pieces(pa.array(list(chain.from_iterable(got)), pa.large_string()), np.fromiter(map(len, got), np.int64, len(got)), True)))
+        rows = np.flatnonzero(~(whole | odd | empty))
+        if len(rows):
+            got = pc.split_pattern(column if len(rows) == n else column.take(_array(rows)), " ")
+            parts.append((rows, *self._pieces(got.flatten(), np.diff(got.offsets.to_numpy()).astype(np.int64), False)))
+        per = np.zeros(n, np.int64)
+        for rows, _, sizes in parts:
+            per[rows] = sizes
+        bounds = np.r_[0, np.cumsum(per + (end is not None))]
         out = np.full(int(bounds[-1]), end or 0, np.uint32)
-        if len(plain):
-            out[np.repeat(bounds[plain] - (np.cumsum(per[plain]) - per[plain]), per[plain]) + np.arange(per[plain].sum())] = ids
-        for k, got in odd.items():
-            out[bounds[k] : bounds[k] + len(got)] = got
+        for rows, ids, sizes in parts:
+            out[np.repeat(bounds[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))] = ids
         return out, bounds
 
 
+def _array(values: np.ndarray):
+    import pyarrow as pa
+
+    return pa.array(values, pa.int64())
+
+
 _KEPT: dict[tuple[str, bool], PieceEncoder] = {}
 
 
@@ -337,8 +397,7 @@ def encoded(docs: DataFrame, path: str, end: int = 0, special: bool = False) ->
     def run(batches):
         encoder = _encoder(path, special)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            ids, bounds = encoder.encode(texts, end)
+            ids, bounds = encoder.encode(b.column("text"), end)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds)), pa.array(pack(ids, bounds), pa.binary())], ["doc_id", "n_tokens", "payload"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, payload binary")
