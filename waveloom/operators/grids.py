@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveloom.functions.columns import cfar_threshold_db
+from waveloom.functions.session import checkpointed
 
 THRESHOLD_DB = cfar_threshold_db(1e-2, 25.0)
 
@@ -95,12 +96,10 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star: every node hands its larger, then its smaller neighbours
     the least one it knows, so links shrink to stars in a number of rounds that grows with the
-    logarithm of the longest chain. Each round is written by `checkpoint` where the session has a
-    folder for it (else the plan of all rounds is one). The links are worked out once.
+    logarithm of the longest chain. Each round is cut by a checkpoint in the shared folder, and
+    the links are worked out once.
     """
-    kept = links.sparkSession.conf.get("spark.checkpoint.dir", None)
-    hold = lambda df: df.checkpoint() if kept else df.persist()
-    now = hold(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
@@ -112,7 +111,7 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select("b", "m").union(down.select(F.col("a").alias("b"), "m"))
-        now = hold(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        now = checkpointed(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
     return nodes.select("id").join(now.select(F.col("a").alias("id"), F.col("b").alias("_r")), "id", "left").select("id", F.coalesce("_r", "id").alias("root"))
 
 

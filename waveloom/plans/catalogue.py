@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waveloom.functions.columns import format_hz, snr_band
+from waveloom.functions.session import shared_dir
 from waveloom.operators import estimators, features, grids, reports, samples, scoring
 from waveloom.sources import recordings
 
@@ -460,8 +461,7 @@ def stream_sessions(spark, d):
 
     from waveloom.streaming.events import drained, session_totals, stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     own = _table(spark, d, "events")
     single = own.inputFiles()[0].endswith("/events.parquet")  # one file, or a folder of part files
     result = session_totals(stream(spark, d if single else f"{d}/events.parquet", own.schema, "events.parquet" if single else "*.parquet"))
