@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 LONG = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore " * 3
@@ -30,7 +31,12 @@ def test_row_for_row(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     for got in (pii.sanitised(docs), licenses.scanned(docs), tokens.round_trip(docs, path), simhash.near_duplicates(docs), quality.scored(docs, marks), toxicity.scored(docs, marks), mixing.mixed(docs)):
         assert ids(got) == ALL
-    assert mixing.emitted(docs).columns == docs.columns
+    # columns of the user's by the operators' names keep their values in the mix and in what the stages keep
+    own = {tuple(r) for r in docs.collect()}
+    for kept in (mixing.emitted(docs), quality.accepted(docs, marks, threshold=0.0), simhash.first_of_groups(docs)):
+        assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= own
+    assert ids(simhash.first_of_groups(docs)) == Counter([1, 2, 3])  # 4 differs from 1 by few bits
+    assert all(r["held_out"] is not None for r in docs.select(quality.held_out(docs["doc_id"]).alias("held_out")).collect())
 
 
 def test_rows_without_id_take_no_part(spark, docs):
@@ -40,7 +46,8 @@ def test_rows_without_id_take_no_part(spark, docs):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, items).collect()} == {(1, 1), (4, 1)}
     assert ids(decontam.clean(docs, items)) == Counter({None: 2, 2: 1, 3: 1})
     got = {(r["doc_id"], r["n_removed"]) for r in suffix.repeated(docs).collect()}
-    assert got == {(1, 0), (2, 0), (3, 0), (4, len(LONG))}
+    assert got == {(None, 0), (1, 0), (2, 0), (3, 0), (4, len(LONG))}
+    assert ids(suffix.repeated(docs)) == ALL
 
 
 def test_vectors(spark):
@@ -51,3 +58,38 @@ def test_vectors(spark):
     got = near_duplicates(vectors)
     assert ids(got, "vec_id") == Counter({None: 1, 1: 2, 2: 1, 3: 1})
     assert {r["vec_id"]: r["n_links"] for r in got.collect()}[2] == 0
+
+
+def test_rows_without_id_that_stand_alone_or_link_others(spark):
+    from waveloom.llm import embeddings, simhash
+
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(words)), (None, "quite another text of nine words in all here"), (5, " ".join(words[:59])), (7, " ".join(words[1:]))]
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bits=30).collect()}
+    assert {(None, 5), (5, 5), (7, 5)} <= got
+    alone = simhash.near_duplicates(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in alone] == [None, None]
+    at = lambda x: [float(np.cos(x)), float(np.sin(x))]
+    rows = [(None, at(0.4)), (3, at(0.0)), (2, at(0.8)), (None, at(2.5))]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=repr)
+    assert got == sorted([(None, 2, 2, False), (3, 1, 2, False), (2, 1, 2, True), (None, 0, None, True)], key=repr)
+
+
+def test_labelled_rows_do_not_grow_with_repeats(spark):
+    from waveloom.llm.quality import labelled
+
+    docs = spark.createDataFrame([(2, "a b c")] * 50 + [(3, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(2, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert {(r["doc_id"], r["text"], r["y"]) for r in labelled(docs, marks, "quality", 10).collect()} <= {(2, "a b c", 1), (3, None, 1)}
+    assert labelled(docs, marks, "quality", 10).count() <= 2
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    from pathlib import Path
+
+    from waveloom.llm import common
+
+    with common.scratch(spark):
+        path = common.written(spark.range(3), "x").inputFiles()[0].removeprefix("file://")
+        assert Path(path).exists()
+    assert not Path(path).exists()

@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waveloom.functions.session import shared_dir
+
 #: Rows that Spark hands to Python at once; keeps a batch of long texts within a worker's memory.
 ARROW_ROWS = 1000
 
+#: Rows of a few numbers each that may be broadcast: some 64 MB.
+BROADCAST_ROWS = 1_000_000
+
 #: `[\x20\x09-\x0D]`, the white space of the word operators.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="waveloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+_TABLES: list[str] = []
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Within this scope results are read; when it ends, the scratch tables made in it are deleted."""
+    begun = len(_TABLES)
+    try:
+        yield
+    finally:
+        for path in _TABLES[begun:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _TABLES[begun:]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -37,6 +52,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, written and narrow, marked for broadcast if it has at most `most` rows; beyond that it is joined by shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of the Python operators unless the user has set a smaller bound."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -153,7 +153,8 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, cell: int =
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing;
     vectors of unlike lengths never link. Repeated rows count as vectors of their own and other
-    columns are ignored. An empty table gives no rows.
+    columns are ignored. An empty table gives no rows. Rows without vec_id link like any other;
+    their component_id is null only where no vector of the group has an id, and then they are kept.
     """
     spark = table.sparkSession
     small_batches(spark)
@@ -162,7 +163,8 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, cell: int =
     rows = rows.withColumn("ok", F.coalesce(_usable(), F.lit(False)))
     unit = rows.where("ok").select("vec_id", "embedding").mapInArrow(_bytes(kind), "vec_id long, v binary")
     unit = written(unit.withColumn("key", F.md5("v")), "vectors")
-    distinct = written(unit.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v")), "distinct")
+    distinct = unit.groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("v").alias("v"))
+    distinct = written(distinct.withColumn("rep", F.monotonically_increasing_id()), "distinct")  # numbers that ids need not give
     sizes = [r["d"] for r in distinct.select(F.length("v").alias("d")).distinct().limit(65).collect()]
     if len(sizes) > 64:
         raise ValueError("vectors have more than 64 different lengths")
@@ -187,8 +189,9 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, cell: int =
     links = written(links, "links")
     found = components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = distinct.select("key", "rep", "n").join(counts, "rep", "left").join(found, F.col("rep") == F.col("node"), "left")
-    named = named.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = unit.select("vec_id", "key").join(named, "key").select("vec_id", "n_links", "component_id")
+    named = distinct.select("key", "rep", "n", "least").join(counts, "rep", "left").join(found, F.col("rep") == F.col("node"), "left")
+    named = written(named.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("root"), "least"), "named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = unit.select("vec_id", "key").join(named.join(least, "root").select("key", "n_links", "component_id"), "key").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

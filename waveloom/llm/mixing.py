@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, written
 
 WEIGHTS, MOST, SEED = (5.0, 2.0, 1.0), 3, "mix"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -60,21 +60,29 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return weighed.select("source", "source_size", F.least(cap.cast("double"), F.col("w") * level).alias("target"))
 
 
+def _taken(docs: DataFrame, weights: tuple[float, ...], most: int, seed: str) -> DataFrame:
+    """(row, size, source_size, target, copies): row holds the columns of docs, whatever their names."""
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), n_words(F.col("text")).alias("size"))
+    sizes = docs.select("source", n_words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    table = sized(written(targets(sizes, weights, most), "targets").withColumnRenamed("source", "of"))
+    own = own.join(table, own["row.source"].eqNullSafe(table["of"]))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    more = (draw(F.col("row.doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    return own.select("row", "size", "source_size", "target", F.when(F.col("size") > 0, F.floor(rate) + more).otherwise(F.lit(0)).cast("long").alias("copies"))
+
+
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target and copies, the number of times that the mix takes each row.
 
     Null texts have size 0 and a null source is a source; documents without words are not
-    taken. Rows with the same id draw alike. An empty table gives no rows. Columns of docs keep
-    their names; size, source_size, target and copies replace any of that name.
+    taken. Rows with the same id, or none, draw alike. An empty table gives no rows; texts of any
+    length are counted whole. Columns of docs keep their names; size, source_size, target and
+    copies replace any of that name.
     """
-    own = docs.drop("size", "source_size", "target", "copies").withColumn("size", n_words(F.col("text")))
-    table = targets(own.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    table = table.withColumnRenamed("source", "_of")
-    own = own.join(table, own["source"].eqNullSafe(table["_of"])).drop("_of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return own.withColumn("copies", F.when(F.col("size") > 0, (F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long"))).otherwise(F.lit(0)).cast("long"))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    return _taken(docs, weights, most, seed).select(*kept, "size", "source_size", "target", "copies")
 
 
 def emitted(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The rows of the mix itself, a repeated document repeated, with the columns of docs."""
-    return mixed(docs, weights, most, seed).withColumn("_copy", F.explode(F.expr("sequence(1L, greatest(copies, 1L))"))).where("_copy <= copies").select(*docs.columns)
+    """The rows of the mix itself, a repeated document repeated, with the columns of docs as they are."""
+    return _taken(docs, weights, most, seed).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

@@ -13,15 +13,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 from .words import LOWER, MARK, mix, pieces, prefix_sums, slice_hash, words_of
 
 DIMS, SAMPLE, COST, ROUNDS, SEED, THRESHOLD = 1 << 18, 8_000, 1.0, 12, 11, 0.3
 
 
 def held_out(doc_id):
-    """Whether labels of a document are kept from learning."""
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    """Whether labels of a document are kept from learning; not so without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def indicators(data: np.ndarray, offsets: np.ndarray, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
@@ -129,10 +129,16 @@ def fit(features: list[np.ndarray], label: np.ndarray, dims: int = DIMS, cost: f
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> DataFrame:
-    """(doc_id, text, y) of at most `sample` labelled rows that may be learned from, the same at each run."""
+    """(doc_id, text, y) of at most `sample` labelled rows that may be learned from, the same at each run.
+
+    Of rows of docs with one id the least text by hash counts, so that repeats add nothing; of
+    labels of one id the greater; labels other than 0 and 1 and those without id are left out.
+    """
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
     y = y.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(y, "doc_id")
+    y = written(y, "labels")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id")  # at most `sample` rows
+    return own.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dims: int = DIMS) -> Model:
@@ -172,3 +178,17 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sam
 
     out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
     return out.withColumn("quality_pred", (F.col("quality_score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, dims: int = DIMS) -> DataFrame:
+    """The rows of docs whose score is `threshold` or more, all columns as they are; see `scored` for the score."""
+    import pyarrow as pa
+
+    shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, dims))  # `dims` weights, whatever the corpus
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(shipped.value.score(b.column("text")) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

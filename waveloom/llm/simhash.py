@@ -13,8 +13,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, min_labels, partitions, small_batches, whole_groups, written
+from .common import components, min_labels, partitions, sized, small_batches, whole_groups, written
 
 WORDS, BITS, SEED = 4, 4, 42
 #: Distinct fingerprints under one root beyond which it is split under a second block.
@@ -146,15 +147,51 @@ def linked(distinct: DataFrame, bits: int = BITS, split: int = SPLIT) -> DataFra
     return deal(small).mapInArrow(run, "a long, b long").union(deal(again).mapInArrow(_forest(bits, 0), "a long, b long"))
 
 
+def grouped(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fp, root) for each distinct fp of the written table fps: root is the least fingerprint reachable within `bits` bits."""
+    distinct = fps.select("fp").distinct()
+    found = components(linked(distinct.select("fp", F.col("fp").alias("rep")), bits))
+    return distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text, ...).
 
-    Null and empty texts have fingerprint zero and are linked like any other. Repeated rows stay
-    repeated; an empty table gives no rows; other columns are ignored. component_id is the
-    smallest doc_id that is reachable over fingerprints within `bits` bits, the own one included.
+    Null and empty texts have fingerprint zero and are linked like any other; texts of any length
+    are read whole. Repeated rows stay repeated; an empty table gives no rows; other columns are
+    ignored. component_id is the smallest doc_id that is reachable over fingerprints within `bits`
+    bits, the own one included. Rows without id link like any other; their component_id is null
+    only where no row of the group has an id.
     """
     fps = written(fingerprints(docs, words, seed), "simhash")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = components(linked(distinct, bits))
-    named = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    roots = grouped(fps, bits)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(roots, "fp")
+    named = roots.join(least.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
+    named = sized(written(named.select("fp", "component_id"), "groups"))
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = SEED) -> DataFrame:
+    """The rows of docs, one of each group of near duplicates: that of the smallest doc_id, rows without id last.
+
+    Of repeated rows one stays. All columns stay as they are. Rows get a number when they are
+    written with their fingerprints; the numbers of those that go are what is joined, not texts.
+    """
+    import pyarrow as pa
+
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            fp = np.array([fingerprint(t, words, seed) for t in b.column("row").field("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("at"), pa.array(fp, pa.int64())], ["row", "at", "fp"])
+
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at"))
+    rows = written(own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("fp", T.LongType())])), "simhash")
+    keys = rows.select("fp", "at", F.col("row.doc_id").cast("long").alias("id"))
+    roots = sized(written(grouped(keys, bits), "groups"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "at")
+    first = keys.groupBy("fp").agg(F.min(order).alias("o")).join(roots, "fp").groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.at").alias("first"), "root")
+    first = sized(written(first.join(roots, "root").select("fp", "first"), "groups"))
+    gone = sized(written(keys.join(first, "fp").where("at <> first").select("at"), "gone"))
+    return rows.join(gone, "at", "left_anti").select("row.*")

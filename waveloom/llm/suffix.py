@@ -12,7 +12,8 @@ sampled by content first, and the ranks grow from there:
   anchors by the bytes to the right and to the left, about twice `GRAM`: every string of `length`
   bytes holds one of the two whole. A half that one document alone has is done.
 * Round 4 ranks the single strings of `length` bytes over the halves that are left, and finds for
-  each the first document that has it.
+  each the first document that has it. Strings are told apart by 128 bits, those of the pairs by
+  two hashes of 64.
 
 A rank is the place of a 64-bit hash among those sorted in one range; what is sorted travels as
 packed columns, one row per group of documents and range, and equal entries of a group are one.
@@ -164,10 +165,11 @@ def _told(t, column: str, judge):
     doc = _wide(t.column("doc"), size) if "doc" in t.column_names else np.zeros(len(h), np.int64)
     row = np.repeat(np.arange(len(size)), size)
     number = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    order = np.lexsort((doc, h))
-    s, d = h[order], doc[order]
+    part = np.concatenate([np.frombuffer(x, "<u8") for x in t.column("part").to_pylist()]) if "part" in t.column_names else np.zeros(len(h), np.uint64)
+    order = np.lexsort((doc, part, h))
+    s, p, d = h[order], part[order], doc[order]
     again = np.zeros(len(s), bool)
-    again[order] = judge(s, d, np.r_[True, s[1:] != s[:-1]])
+    again[order] = judge(s, d, np.r_[True, (s[1:] != s[:-1]) | (p[1:] != p[:-1])])
     keep = np.flatnonzero(again)
     cut = np.searchsorted(row[keep], np.arange(len(size) + 1))
     mark = number[keep].astype("<u4")
@@ -231,12 +233,13 @@ def _open_strings(a: Anchors, state: np.ndarray, gram: int, told, ranges: int):
     into = np.repeat(a.anchor[of], n) - start
     keep = (np.repeat(right, n) | (into > halves.middle)) & (np.repeat(left, n) | (into < halves.middle))
     start = start[keep]
-    h = slice_hash(a.sums, start, start + a.length)
+    # hashes of the string and of its first half: equal only if both halves are, 128 bits together
+    h, part = slice_hash(a.sums, start, start + a.length), slice_hash(a.sums, start, start + a.length // 2)
     doc = a.doc_id[np.searchsorted(a.offsets, start, "right") - 1] if len(start) else start
-    order = np.lexsort((start, doc, h))
-    h, start, doc = h[order], start[order], doc[order]
-    fresh = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-    return start, h, doc, fresh, _ranges(h[fresh], ranges)
+    order = np.lexsort((start, doc, part, h))
+    h, part, start, doc = h[order], part[order], start[order], doc[order]
+    fresh = np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])] if len(h) else np.zeros(0, bool)
+    return start, h, part, doc, fresh, _ranges(h[fresh], ranges)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -244,14 +247,17 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
 
     A byte is removed if a string of `length` bytes over it also starts in a row with a smaller
     doc_id; rows of one id never take from each other. spans are the removed runs as
-    (start, end) in UTF-8 bytes. Null texts count as empty, rows without doc_id are left out, other columns are
-    ignored, an empty table gives no rows.
+    (start, end) in UTF-8 bytes. Null texts count as empty, other columns are ignored, an empty
+    table gives no rows. Rows without doc_id come before and after none: they stay whole and take
+    nothing from others. A text of any length is worked on whole, within one task.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    apart = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
+    rows = rows.where("doc_id is not null")
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     groups = max(1, -(-total // group))
     ranges = max(1, -(-groups // 4))
@@ -287,10 +293,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
 
     def round4(key, t, told):
         if not t.num_rows or not told.num_rows:
-            return none("string", "doc")
+            return none("string", "part", "doc")
         t, a = anchors_of(t)
-        _, h, doc, fresh, begin = _open_strings(a, _states(a, of_kind(told, 2), ranges), gram, of_kind(told, 3), ranges)
-        return packed(t, begin, string=h[fresh], doc=_narrow(doc[fresh]))
+        _, h, part, doc, fresh, begin = _open_strings(a, _states(a, of_kind(told, 2), ranges), gram, of_kind(told, 3), ranges)
+        return packed(t, begin, string=h[fresh], part=part[fresh], doc=_narrow(doc[fresh]))
 
     def marked(key, t, told):
         names = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
@@ -310,7 +316,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
             # an earlier document outside has the entry, or an earlier one of this group
             full = (state[a.entry] == 1) | (own > first[a.entry])
             cover(a.first[full], a.last[full])
-            start, h, doc, fresh, begin = _open_strings(a, state, gram, of_kind(told, 3), ranges)
+            start, _, _, doc, fresh, begin = _open_strings(a, state, gram, of_kind(told, 3), ranges)
             again = np.zeros(int(fresh.sum()), bool)
             for k, x in zip(*(of_kind(told, 4).column(c).to_pylist() for c in ("k", "told")), strict=True):
                 again[begin[k] + np.frombuffer(x, "<u4")] = True
@@ -345,6 +351,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
     told2 = entries.groupBy("k").applyInArrow(_round2, shape).withColumn("kind", F.lit(2))
     halves = rows.groupBy("g").cogroup(told2.groupBy("g")).applyInArrow(round3, "g long, k int, half binary")
     told3 = told2.union(halves.groupBy("k").applyInArrow(_round3, shape).withColumn("kind", F.lit(3)))
-    strings = rows.groupBy("g").cogroup(told3.groupBy("g")).applyInArrow(round4, "g long, k int, string binary, doc binary")
+    strings = rows.groupBy("g").cogroup(told3.groupBy("g")).applyInArrow(round4, "g long, k int, string binary, part binary, doc binary")
     told = told3.union(strings.groupBy("k").applyInArrow(_round4, shape).withColumn("kind", F.lit(4)))
-    return rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(marked, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    found = rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(marked, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return found.union(apart)
