@@ -4,12 +4,15 @@ quality drops what the classifier rejects, simhash keeps the first document of e
 duplicates, decontaminate drops documents that hold benchmark items, mix repeats or drops
 documents towards the target weights, and tokens writes what is left as Simple-8b token ids and
 reads their digest back.
+
+Every stage takes null ids, null and empty texts, repeated rows, empty tables and columns of any
+further names: of repeated rows one stays, null texts score, count and encode as
+empty ones, and columns that a stage has no use for stay as they are until the last.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from waveloom.llm import decontam, mixing, quality, simhash, tokens
 from waveloom.llm.common import written
@@ -19,14 +22,11 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("quality_pred = 1").select(*docs.columns)
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return simhash.first_of_groups(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
