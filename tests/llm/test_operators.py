@@ -371,3 +371,87 @@ def test_pipeline_stages(spark, tmp_path):
 def _written(df, path):
     df.write.parquet(str(path))
     return str(path)
+
+
+def _template_windows(text, names, plain, window, literal):
+    """Windows of a text by plain Python: (first word, key, slots)."""
+    from waveloom.llm.decontam import UNITS
+
+    words, kinds = [w.strip("".join(chr(k) for k in range(33, 127) if not chr(k).isalnum())) for w in text.split()], []
+    for k, w in enumerate(words):
+        low = w.lower()
+        number = sum(c.isdigit() for c in w) * 2 >= len(w) and any(c.isdigit() for c in w)
+        capital = len(w) > 1 and w[0].isupper() and not w[1].isupper()
+        kind = "N" if number else "U" if low in UNITS and k and kinds[-1] == "N" else "P" if low in names or (capital and low not in plain) else ""
+        kinds.append(kind)
+    for a in range(len(words) - window + 1):
+        own, kind = [w.lower() for w in words[a : a + window]], kinds[a : a + window]
+        if sum(not k for k in kind) >= literal:
+            yield a, ("t", *(f"<{k}>" if k else w for w, k in zip(own, kind, strict=True))), [w for w, k in zip(own, kind, strict=True) if k]
+        else:
+            yield a, ("w", *own), []
+    if 5 <= len(words) < window:
+        yield 0, ("s", *map(str.lower, words)), []
+
+
+def test_decontamination_equals_brute_force(spark):
+    from waveloom.llm.decontam import LITERAL, RUN, SHARE, WINDOW, matches
+
+    rng = random.Random(31)
+    vocabulary = "has gives apples pears to the market and sells each for a price of how many are left what is total sum after buying more".split()
+    names = "Alice Bob Carol Dora Emil Franz".split()
+
+    def sentence():
+        out = [rng.choice([rng.choice(names), rng.choice(vocabulary), str(rng.randint(2, 99)), rng.choice(vocabulary), "5 km"]) for _ in range(rng.randint(3, 14))]
+        return " ".join([out[0][0].upper() + out[0][1:], *out[1:]]) + "."
+
+    items = [(k, " ".join(sentence() for _ in range(rng.randint(1, 3)))) for k in range(40)]
+    turn = lambda t: "".join(rng.choice("123456789") if c.isdigit() and rng.random() < 0.6 else c for c in t).replace("Alice", "Zoe").replace("Emil", "Udo")
+    docs = [(k, " ".join([sentence(), rng.choice([str, str.lower, str.upper, turn, str.title])(rng.choice(items)[1]), sentence()])) for k in range(160)] + [(1000 + k, " ".join(sentence() for _ in range(4))) for k in range(40)]
+    inside, lower, seen = {}, {}, set()
+    for _, t in items:
+        opens = True
+        for w in t.split():
+            bare = w.strip(".")
+            capital = len(bare) > 1 and bare[0].isupper() and not bare[1].isupper()
+            seen.add(bare.lower())
+            inside[bare.lower()] = inside.get(bare.lower(), 0) + (capital and not opens)
+            lower[bare.lower()] = lower.get(bare.lower(), 0) + (not capital)
+            opens = w.endswith(".")
+    called = {w for w in seen if inside[w] > lower[w] or not lower[w]}
+    want = {}
+    own = {i: list(_template_windows(t, called, seen - called, WINDOW, LITERAL)) for i, t in items}
+    short = {i: t.lower().replace(".", "").split() for i, t in items if 5 <= len(t.split()) < WINDOW}
+    for d, t in docs:
+        theirs, words = {}, [w.strip(".").lower() for w in t.split()]
+        for at, key, slots in _template_windows(t, called, seen - called, WINDOW, LITERAL):
+            theirs.setdefault(key, []).append((at, slots))
+        for i, wins in own.items():
+            lines = {}
+            for at, key, slots in wins:
+                there = [(a, []) for a in range(len(words)) if key[0] == "s" and words[a : a + len(short[i])] == short[i]] if key[0] == "s" else theirs.get(key, [])
+                for a, other in there:
+                    lines.setdefault(a - at, []).append((at, list(zip(slots, other, strict=True))))
+            matched, exact = set(), True
+            for found in lines.values():
+                pairs = {p for _, ps in found for p in ps}
+                bad = {p for p in pairs for q in pairs if (p[0] == q[0]) != (p[1] == q[1])}
+                for at, ps in found:
+                    if not bad & set(ps):
+                        matched.add(at)
+                        exact &= all(a == b for a, b in ps)
+            if matched and len(matched) >= min(RUN, int(np.ceil(len(wins) * SHARE))):
+                want[d, i] = (len(matched), exact)
+    got = matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 100 and any(not x[1] for x in want.values())
+    assert {(r["doc_id"], r["item_id"]): (r["n_matched"], r["exact"]) for r in got} == want
+
+
+def test_decontamination_of_cases_names_and_short_items(spark):
+    from waveloom.llm.decontam import clean, matches
+
+    items = [(1, "Alice has 3 apples. Alice buys 4 more apples at the shop. How many apples does Alice have now?"), (2, "17 + 25 = 42, 19 + 23 = 42, 11 + 31 = 42"), (3, "name the largest inner moon"), (4, "Der Hund jagt die Katze durch den Garten und das Haus am Abend")]
+    docs = [(1, "Bob has 7 apples. Bob buys 9 more apples at the shop. How many apples does Bob have now?"), (2, items[0][1].lower()), (3, items[0][1].upper()), (4, "sums: " + items[1][1]), (5, "17 + 26 = 43, 19 + 24 = 43, 11 + 32 = 43"), (6, "now Name the largest inner moon please"), (7, items[3][1].lower()), (8, "The shop has apples and many of them are red, says the woman at the door")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["exact"]) for r in matches(docs, items).collect()} == {(1, 1, False), (2, 1, True), (3, 1, True), (4, 2, True), (6, 3, True), (7, 4, True)}
+    assert {r["doc_id"] for r in clean(docs, items).collect()} == {5, 8}
