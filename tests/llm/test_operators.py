@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -455,3 +456,67 @@ def test_decontamination_of_cases_names_and_short_items(spark):
     docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"], r["exact"]) for r in matches(docs, items).collect()} == {(1, 1, False), (2, 1, True), (3, 1, True), (4, 2, True), (6, 3, True), (7, 4, True)}
     assert {r["doc_id"] for r in clean(docs, items).collect()} == {5, 8}
+
+
+def test_licence_headers_files_and_identifiers(spark):
+    from waveloom.llm.licenses import TEMPLATES, scanned
+
+    wrap = lambda t, n, mark: "\n".join(mark + " ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    mit, apache, gpl = TEMPLATES["mit"][1], TEMPLATES["apache-2.0"][1], TEMPLATES["gpl-3.0"][1]
+    code = "\n\n" + "\n".join(f"value_{k} = compute(other_{k}, {k})" for k in range(40))
+    rows = [
+        (1, "a", "MIT License\n\nCopyright (c) 2021 Somebody\n\n" + wrap(mit, 12, "")),
+        (2, "a/src", wrap(apache, 9, " * ") + code),
+        (3, "a/src", "# SPDX-License-Identifier: BSD-3-Clause" + code),
+        (4, "a/src/deep", code),
+        (5, "b", "// " + "SPDX-License-Identifier: GPL-2.0-or-later" + code),
+        (6, "b", wrap(gpl, 10, "// ") + code),
+        (7, "c", "The software team met and all of them had a good time without any trouble."),
+    ]
+    got = {r["doc_id"]: (r["licence"], r["how"], r["licensed_by"]) for r in scanned(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("mit", "own", "a"), 2: ("apache-2.0", "own", "a/src"), 3: ("bsd-3-clause", "own", "a/src"), 4: ("mit", "inherited", "a"), 5: ("gpl-2.0", "own", "b"), 6: ("gpl-3.0", "own", "b"), 7: (None, "none", None)}
+
+
+def test_pii_terms_equal_brute_force(spark):
+    """Repeated rows count each, terms far from a mention count, and all their places are marked."""
+    from waveloom.llm.pii import GENERAL, REMOVE, SUPPORT, sanitised
+
+    rng = random.Random(8)
+    mails = [f"user{k}@mail{k % 3}.org" for k in range(9)]
+    rows = []
+    for k in range(120):
+        words = [rng.choice(["alpha", "beta", "gamma", "Delta", "epsilon"]) for _ in range(rng.randint(3, 60))]
+        if k % 3 == 0:
+            m = rng.randrange(len(mails))
+            words.insert(rng.randrange(len(words)), mails[m])
+            words.insert(rng.randrange(len(words)), f"Codename{'abcdefghi'[m]}" if rng.random() < 0.9 else "else")
+            words += ["filler"] * 40 + [f"codename{'abcdefghi'[m]}"]
+        rows.append((k if k % 10 else None, " ".join(words)))
+    rows += [rows[3]] * 3 + [(500, None), (501, ""), (502, " ".join(str(k) + "." for k in range(10_000)) + " 10.1.2.3 +1 555 123 4567")]
+    term = r"(?<!\w)[^\W\d_]{3,}(?!\w)"
+    of = lambda t: {w.lower() for w in re.findall(term, t)}
+    held = [{(k, t[s:e].lower()) for s, k, e in base(t or "")} for _, t in rows]
+    kinds = ("email", "ip", "card", "phone", "term")
+    met, holders, both = Counter(), Counter(), Counter()
+    for (_, t), es in zip(rows, held, strict=True):
+        terms = of(t or "")
+        met.update(terms)
+        holders.update(es)
+        both.update((e, w) for e in es for w in terms)
+    share = {(e, w): np.log(len(rows) * n / (met[w] * holders[e])) / np.log(len(rows) / holders[e]) for (e, w), n in both.items() if n >= SUPPORT}
+    want = []
+    for (i, t), es in zip(rows, held, strict=True):
+        t = t or ""
+        best = {}
+        for (e, w), x in share.items():
+            if e in es and x >= GENERAL:
+                best[w] = max(x, best.get(w, 0))
+        plain = base(t)
+        places = [(m.start(), 4, m.end()) for m in re.finditer(term, t) if m[0].lower() in best and not any(s < m.end() and e > m.start() for s, _, e in plain)]
+        want.append((i, ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in sorted(plain + places)), sum(best[t[s:e].lower()] >= REMOVE for s, _, e in places)))
+    from waveloom.llm.pii import joined
+
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sanitised(table, texts=False).select("doc_id", joined(F.col("spans")).alias("s"), F.expr("size(filter(terms, x -> x.removed))").alias("removed")).collect()
+    assert any("term" in w[1] for w in want)
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
