@@ -77,11 +77,11 @@ def words(text: str) -> list[str]:
 
 
 def _units(text):
-    """Lines (0), blocks of lines (1) and the whole (2) of a text, each as (kind, characters, text)."""
+    """Lines (0), blocks of lines (1) and, unless it is one block, the whole (2) of a text, each as (kind, characters, text)."""
     piece = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x).alias("size"), x.alias("unit"))
     lines = F.split(text, "\n")
     blocks = F.filter(F.split(text, r"\n[^\p{L}\p{N}\n]*(?=\n)"), lambda x: F.contains(F.trim(x), F.lit("\n")))
-    return F.concat(F.transform(lines, piece(0)), F.transform(blocks, piece(1)), F.when(F.size(lines) > 1, F.array(piece(2)(text))).otherwise(F.array().cast("array<struct<kind:int,size:int,unit:string>>")))
+    return F.concat(F.transform(lines, piece(0)), F.transform(blocks, piece(1)), F.when((F.size(lines) > 1) & (F.size(blocks) != 1), F.array(piece(2)(text))).otherwise(F.array().cast("array<struct<kind:int,size:int,unit:string>>")))
 
 
 def scanned(files: DataFrame, threshold: float = THRESHOLD, file_share: float = FILE_SHARE, templates: dict[str, str | tuple[str, ...]] | None = None) -> DataFrame:
