@@ -44,3 +44,11 @@ def batch_rows(detections: DataFrame) -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
+
+
+def write_all(detections: DataFrame, path: str, sample_rate: float, center: float | None = None) -> None:
+    """Write reports (JSON lines), annotations and the flat rows of all captures below path, each by Spark in parts."""
+    report_rows(detections).write.mode("overwrite").json(f"{path}/reports")
+    annotations(detections, sample_rate, center).write.mode("overwrite").json(f"{path}/annotations")
+    flat = [c for c, k in detections.dtypes if not k.startswith(("array", "struct", "map"))]
+    detections.select(*flat).write.mode("overwrite").option("header", True).csv(f"{path}/detections")

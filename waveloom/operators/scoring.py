@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveloom.functions.columns import clip, snr_band
+from waveloom.functions.session import checkpointed
 
 #: Prior weights of the feature and the window voter by band.
 PRIOR = {"low": (0.35, 0.65), "mid": (0.5, 0.5), "high": (0.65, 0.35)}
@@ -111,12 +112,80 @@ def keying(marks: DataFrame, least: int = 6) -> DataFrame:
 
 
 def robust_outliers(values: DataFrame, key: str, column: str, limit: float = 2.5) -> DataFrame:
-    """(key, median, mad, n, n_out): values farther than `limit` scaled median deviations from their key's median."""
-    mid = values.groupBy(key).agg(F.median(column).alias("median"))
-    own = values.join(mid, key)
-    mad = own.groupBy(key).agg((F.median(F.abs(F.col(column) - F.col("median"))) * 1.4826).alias("mad"))
-    return own.join(mad, key).groupBy(key).agg(F.max("median").alias("median"), F.max("mad").alias("mad"), F.count("*").alias("n"), F.count_if(F.abs(F.col(column) - F.col("median")) > limit * F.col("mad")).alias("n_out"))
+    """(key, median, mad, n, n_out): values farther than `limit` scaled median deviations from their key's median.
+
+    Windows of the key give both medians, so rows are dealt out once.
+    """
+    own = Window.partitionBy(key)
+    off = values.select(key, column).withColumn("median", F.median(column).over(own)).withColumn("off", F.abs(F.col(column) - F.col("median")))
+    off = off.withColumn("mad", F.median("off").over(own) * 1.4826)
+    return off.groupBy(key).agg(F.max("median").alias("median"), F.max("mad").alias("mad"), F.count("*").alias("n"), F.count_if(F.col("off") > limit * F.col("mad")).alias("n_out"))
 
 
 def snr_confidence(snr: Column) -> Column:
     return clip(0.35 + 0.055 * snr, 0.2, 0.9)
+
+
+def confident(predictions: DataFrame, sure: float = 0.8, weak_db: float = 5.0) -> DataFrame:
+    """One row over (truth, predicted, confidence, snr_db): number and accuracy above `sure`, share of `unknown` among wrong ones under `weak_db`; NULL where nothing divides."""
+    high, wrong = F.col("confidence") > sure, (F.col("snr_db") < weak_db) & (F.col("truth") != F.col("predicted"))
+    return predictions.agg(
+        F.count_if(high).alias("high_confidence_count"),
+        F.avg(F.when(high, (F.col("truth") == F.col("predicted")).cast("double"))).alias("high_confidence_accuracy"),
+        F.avg(F.when(wrong, (F.col("predicted") == "unknown").cast("double"))).alias("unknown_share_low_snr"),
+    )
+
+
+def batch_totals(captures: DataFrame, seconds: float | None = None) -> DataFrame:
+    """One row over (status, n_detections, bytes): captures that went well and that failed, detections, megabytes and, over `seconds`, their rate."""
+    out = captures.agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(~F.coalesce(F.col("status") == "ok", F.lit(False))).alias("failed"), F.coalesce(F.sum("n_detections"), F.lit(0)).alias("detections"), (F.coalesce(F.sum("bytes"), F.lit(0)) / 1e6).alias("megabytes"))
+    return out.withColumn("megabytes_per_second", F.col("megabytes") / seconds if seconds and seconds > 0 else F.lit(0.0))
+
+
+def harness(trials: DataFrame) -> DataFrame:
+    """(measure, level_db, median_error, pass_rate, abstentions, break_db) over (measure, level_db, error, passed); a NULL error is an abstention."""
+    levels = trials.groupBy("measure", "level_db").agg(F.median("error").alias("median_error"), F.avg(F.col("passed").cast("double")).alias("pass_rate"), F.count_if(F.col("error").isNull()).alias("abstentions"))
+    return levels.join(break_point(trials), "measure", "left")
+
+
+def window_spread(votes: DataFrame) -> DataFrame:
+    """(id, spread): mean total variation between a window's shares (id, w, label, p) and their mean over windows."""
+    mean = F.avg("p").over(Window.partitionBy("id", "label"))
+    each = votes.withColumn("off", F.abs(F.col("p") - mean)).groupBy("id", "w").agg((F.sum("off") / 2).alias("off"))
+    return each.groupBy("id").agg(F.avg("off").alias("spread"))
+
+
+def worst_recalls(predictions: DataFrame, most: int = 3) -> DataFrame:
+    """The labels of the lowest recall that occur, the first by name of equals."""
+    return precision_recall(predictions).where("support > 0").orderBy("recall", "label").limit(most).select("label", "recall", "support")
+
+
+def top_confusions(predictions: DataFrame, least_db: float = 15.0, share: float = 0.1, most: int = 5) -> DataFrame:
+    """The most frequent mistakes at `least_db` and above, of at least `share` of their truth."""
+    high = predictions.where(F.col("snr_db") >= least_db)
+    own = high.groupBy("truth", "predicted").agg(F.count("*").alias("n"))
+    own = own.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("truth")))
+    return own.where((F.col("truth") != F.col("predicted")) & (F.col("share") >= share)).orderBy(F.desc("share"), "truth", "predicted").limit(most)
+
+
+def accuracy_report(predictions: DataFrame) -> DataFrame:
+    """(label, low, mid, high, all): accuracy of each truth by band of its ratio, in columns."""
+    bands = ["low", "mid", "high"]
+    own = predictions.withColumn("band", snr_band(F.col("snr_db"))).withColumn("hit", (F.col("truth") == F.col("predicted")).cast("double"))
+    wide = own.groupBy(F.col("truth").alias("label")).pivot("band", bands).agg(F.avg("hit"))
+    return wide.join(own.groupBy(F.col("truth").alias("label")).agg(F.avg("hit").alias("all")), "label").select("label", *bands, "all")
+
+
+def every_nth(rows: DataFrame, order: list, limit: int) -> DataFrame:
+    """At most `limit` rows at equal steps of the order: every max(1, n // limit)-th.
+
+    Ranks are counted within ranges of the order and shifted by the ranges before, so no task holds all rows.
+    """
+    ranked = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
+    ranked = checkpointed(ranked)
+    sizes = ranked.groupBy("_p").agg(F.count("*").alias("n"), F.min("_k").alias("first"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("_p", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))  # a row per partition
+    at = F.col("_k") - F.col("first") + F.col("before")
+    step = F.greatest(F.floor(F.col("total") / limit), F.lit(1))
+    return ranked.join(F.broadcast(base), "_p").where((at % step == 0) & (at < step * limit)).select(*rows.columns)

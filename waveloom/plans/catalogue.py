@@ -570,11 +570,11 @@ def feature_vector(spark, d):
 ), p AS (SELECT *, i * i + q * q AS p, i * i - q * q AS r, 2 * i * q AS x FROM u
 ), m AS (SELECT capture_id, avg(p) AS m21, avg(r) AS r20, avg(x) AS x20, avg(r * r - x * x) AS r40, avg(2 * r * x) AS x40, avg(r * p) AS r41, avg(x * p) AS x41, avg(p * p) AS m42, avg(p * p * p) AS m63, stddev_pop(abs(sqrt(p))) / avg(sqrt(p)) AS spread, 10 * log10(max(p)) AS papr_db FROM p GROUP BY capture_id
 ), c AS (SELECT *, m42 - r20 * r20 - x20 * x20 - 2 * m21 * m21 AS c42 FROM m)
-SELECT capture_id, round(sqrt(r20 * r20 + x20 * x20), 4) AS c20, round(sqrt((r40 - 3 * (r20 * r20 - x20 * x20)) ** 2 + (x40 - 6 * r20 * x20) ** 2), 4) AS c40, round(sqrt((r41 - 3 * r20 * m21) ** 2 + (x41 - 3 * x20 * m21) ** 2), 4) AS c41,
-round(abs(c42), 4) AS c42, round(abs(m63 - 9 * c42 * m21 - 6 * m21 ** 3), 4) AS c63, round(spread * spread, 4) AS envelope_var, round(papr_db, 4) + 0.0 AS papr_db FROM c""")
+SELECT capture_id, round(sqrt(r20 * r20 + x20 * x20), 4) AS c20_abs, round(sqrt((r40 - 3 * (r20 * r20 - x20 * x20)) ** 2 + (x40 - 6 * r20 * x20) ** 2), 4) AS c40_abs, round(sqrt((r41 - 3 * r20 * m21) ** 2 + (x41 - 3 * x20 * m21) ** 2), 4) AS c41_abs,
+round(abs(c42), 4) AS c42_abs, round(abs(m63 - 9 * c42 * m21 - 6 * m21 ** 3), 4) AS c63_abs, round(spread * spread, 4) AS amplitude_variance, round(papr_db, 4) + 0.0 AS papr_db FROM c""")
 def sample_features(spark, d):
     own = features.sample_features(estimators.blocks(_iq(spark, d)))
-    return rounded(own.select("capture_id", "c20", "c40", "c41", "c42", "c63", "envelope_var", "papr_db"), 4)
+    return rounded(own.select("capture_id", "c20_abs", "c40_abs", "c41_abs", "c42_abs", "c63_abs", "amplitude_variance", "papr_db"), 4)
 
 
 @query()
@@ -604,3 +604,6 @@ def audible_captures(spark, d):
 
 def flagship(spark, d):
     return islands(spark, d)
+
+
+from waveloom.plans import measures  # noqa: E402, F401  (registers its queries)
