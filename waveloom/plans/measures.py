@@ -13,7 +13,7 @@ from waveloom.sources import examples
 
 CELLS = """cells AS (SELECT event_type AS capture_id, user_id % 48 AS f, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS t, round(10 * log10(sum(abs(value))), 6) AS s_db FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL HAVING sum(abs(value)) > 0
 ), means AS (SELECT capture_id, round(avg(s_db), 6) AS m FROM cells GROUP BY capture_id), strong AS (SELECT c.* FROM cells c JOIN means USING (capture_id) WHERE s_db > m
-), boxes AS (SELECT capture_id, capture_id || ':' || (f // 12) || ':' || (t // 12) AS id, min(f) AS f0, max(f) AS f1, min(t) AS t0, max(t) AS t1, count(*) AS npix, max(s_db) AS peak_db FROM strong GROUP BY capture_id, f // 12, t // 12)"""
+), boxes AS (SELECT capture_id, capture_id || ':' || (f // 16) || ':' || (t // 24) AS id, min(f) AS f0, max(f) AS f1, min(t) AS t0, max(t) AS t1, count(*) AS npix, max(s_db) AS peak_db FROM strong GROUP BY capture_id, f // 16, t // 24)"""
 
 
 def _cells(spark, d):
@@ -25,7 +25,7 @@ def _cells(spark, d):
 
 def _boxes(cells):
     strong = cells.join(F.broadcast(cells.groupBy("capture_id").agg(F.round(F.avg("s_db"), 6).alias("m"))), "capture_id").where("s_db > m")  # a row per capture
-    name = F.concat_ws(":", "capture_id", F.floor(F.col("f") / 12).cast("string"), F.floor(F.col("t") / 12).cast("string"))
+    name = F.concat_ws(":", "capture_id", F.floor(F.col("f") / 16).cast("string"), F.floor(F.col("t") / 24).cast("string"))
     return strong.groupBy("capture_id", name.alias("id")).agg(F.min("f").alias("f0"), F.max("f").alias("f1"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("npix"), F.max("s_db").alias("peak_db"))
 
 
@@ -54,11 +54,11 @@ def sized_boxes(spark, d):
     return detection.sized(_boxes(cells).join(F.broadcast(size), "capture_id"), F.col("nt"), F.col("nf")).select("id", "npix", "wideband")  # a row per capture
 
 
-@query(f"""WITH {CELLS}, r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY (f1 - f0 + 1) * (t1 - t0 + 1) DESC, id) AS rank, greatest(count(*) OVER (PARTITION BY capture_id) - 20, 0) AS left_out FROM boxes)
-SELECT capture_id, id, rank, left_out FROM r WHERE rank <= 20""")
+@query(f"""WITH {CELLS}, r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY (f1 - f0 + 1) * (t1 - t0 + 1) DESC, id) AS rank, greatest(count(*) OVER (PARTITION BY capture_id) - 10, 0) AS left_out FROM boxes)
+SELECT capture_id, id, rank, left_out FROM r WHERE rank <= 10""")
 def gated_detections(spark, d):
     """The largest boxes of each capture, of which a report holds so many at most."""
-    return detection.gated(_boxes(_cells(spark, d)), 20).select("capture_id", "id", "rank", "left_out")
+    return detection.gated(_boxes(_cells(spark, d)), 10).select("capture_id", "id", "rank", "left_out")
 
 
 @query("SELECT doc_id, CAST(least(greatest(2 ** round_even(log2(greatest(4.0 * n_chars * 100 / 2000, 1)), 0), 256), 8192) AS BIGINT) AS nfft FROM documents WHERE n_chars IS NOT NULL")
