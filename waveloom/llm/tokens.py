@@ -39,7 +39,7 @@ UNLIKE = (
 #: Fixed value: white space as the pre-tokenizer knows it.
 WHITE = "\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Pieces of text whose ids a worker remembers.
-REMEMBER = 600_000
+REMEMBER = 300_000
 
 
 def _need(ids: np.ndarray) -> np.ndarray:
