@@ -107,15 +107,19 @@ def bandwidths(psd: DataFrame, size: int, fraction: float = 0.99) -> DataFrame:
 
 def with_series(own: DataFrame) -> DataFrame:
     """Blocks with `power`, the squared envelope, `freq`, the step of phase in cycles, and `jumps`, the size of its changes."""
+    # neighbours meet as two shifted arrays: an index into an array inside a lambda may work the array out anew for each element
+    later, earlier = (lambda x: F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))), (lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))))
+    turn = lambda b, a: F.atan2(b["q"] * a["i"] - b["i"] * a["q"], b["i"] * a["i"] + b["q"] * a["q"]) / (2 * math.pi)
+    z = F.arrays_zip("i", "q")
     own = own.withColumn("power", F.zip_with("i", "q", lambda a, b: a * a + b * b))
-    own = own.withColumn("freq", F.expr(f"transform(slice(i, 2, size(i)), (x, k) -> atan2(q[k + 1] * i[k] - x * q[k], x * i[k] + q[k + 1] * q[k]) / {2 * math.pi!r})"))
-    return own.withColumn("jumps", F.expr("transform(slice(freq, 2, size(freq)), (x, k) -> abs(x - freq[k]))"))
+    own = own.withColumn("freq", F.zip_with(later(z), earlier(z), turn))
+    return own.withColumn("jumps", F.zip_with(later(F.col("freq")), earlier(F.col("freq")), lambda b, a: F.abs(b - a)))
 
 
 def lines(own: DataFrame, series: str, pad: int = 8) -> DataFrame:
-    """(capture_id, freq, d): amplitude in dB of a real series, without its mean, under a Blackman-Harris window, padded.
+    """(capture_id, d): amplitudes in dB of a real series, without its mean, under a Blackman-Harris window, padded.
 
-    Series of under 16 values or without variation give no rows.
+    d runs in even steps from frequency 0 to one half. Series of under 16 values or without variation give no rows.
     """
 
     def each(x):
@@ -125,22 +129,24 @@ def lines(own: DataFrame, series: str, pad: int = 8) -> DataFrame:
         points = min(MOST_POINTS, 1 << math.ceil(math.log2(pad * len(x))))
         return 20 * np.log10(np.abs(np.fft.rfft(x * _cosines(len(x), BLACKMAN_HARRIS), points)) + 1e-12)
 
-    rows = _arrays(own, "capture_id long", [series], each).select("capture_id", F.size("v").alias("n"), F.posexplode("v").alias("k", "d"))
-    return rows.select("capture_id", (F.col("k") / (2.0 * (F.col("n") - 1))).alias("freq"), "d")
+    return _arrays(own, "capture_id long", [series], each).where(F.size("v") > 0).select("capture_id", F.col("v").alias("d"))
 
 
 def line_rate(spectrum: DataFrame, low: float = 0.001, high: float = 0.5) -> DataFrame:
-    """(capture_id, rate, height_db, confidence) of the highest line from low to high, over (capture_id, freq, d).
+    """(capture_id, rate, height_db, confidence) of the highest line from low to high, over (capture_id, d) as `lines` gives it.
 
     Where a quarter, third or half of its frequency, tried in this order and taken within 2 %,
     has three quarters of its height over the median and 10 dB at least, the line is a harmonic of that.
     """
-    own = spectrum.where(F.col("freq").between(low, high))
-    top = own.groupBy("capture_id").agg(F.max_by("freq", F.struct("d", -F.col("freq"))).alias("peak"), F.max("d").alias("best"), F.median("d").alias("mid"))
-    near = [F.max(F.when(F.abs(F.col("freq") * k / F.col("peak") - 1) <= 0.02, F.col("d") - F.col("mid"))).alias(f"h{k}") for k in (4, 3, 2)]
-    out = own.join(top, "capture_id").groupBy("capture_id", "peak", (F.col("best") - F.col("mid")).alias("height_db")).agg(*near)
-    part = [F.when(F.col(f"h{k}") >= F.greatest(0.75 * F.col("height_db"), F.lit(10.0)), F.col("peak") / k) for k in (4, 3, 2)]
-    return out.select("capture_id", F.coalesce(*part, "peak").alias("rate"), "height_db", logistic(F.col("height_db"), 0.398, 6.48).alias("confidence"))
+    between = lambda first, last: F.slice("d", (first + 1).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int"))
+    own = spectrum.withColumn("steps", 2.0 * (F.size("d") - 1)).withColumn("first", F.ceil(low * F.col("steps"))).withColumn("last", F.floor(high * F.col("steps")))
+    own = own.withColumn("part", between(F.col("first"), F.col("last"))).withColumn("best", F.array_max("part")).where("best is not null")
+    own = own.withColumn("mid", middle(F.col("part"))).withColumn("peak", F.array_position("part", F.col("best")) - 1 + F.col("first")).withColumn("height_db", F.col("best") - F.col("mid"))
+    # a harmonic's root is looked for among the few bins within 2 % of its part of the peak
+    near = lambda k: F.array_max(between(F.greatest(F.ceil(0.98 * F.col("peak") / k), F.col("first")), F.floor(1.02 * F.col("peak") / k))) - F.col("mid")
+    own = own.select("capture_id", "height_db", (F.col("peak") / F.col("steps")).alias("rate"), *[near(k).alias(f"h{k}") for k in (4, 3, 2)])
+    part = [F.when(F.col(f"h{k}") >= F.greatest(0.75 * F.col("height_db"), F.lit(10.0)), F.col("rate") / k) for k in (4, 3, 2)]
+    return own.select("capture_id", F.coalesce(*part, "rate").alias("rate"), "height_db", logistic(F.col("height_db"), 0.398, 6.48).alias("confidence"))
 
 
 def _lags(x: np.ndarray) -> np.ndarray:
@@ -152,7 +158,7 @@ def _lags(x: np.ndarray) -> np.ndarray:
 
 
 def middle(values: Column) -> Column:
-    s = F.array_sort(values)
+    s = F.sort_array(values)
     n = F.size(values)
     return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
 
@@ -203,9 +209,8 @@ def tones(own: DataFrame, bins: int = 200, share: float = 0.15) -> DataFrame:
     The histogram of `bins` bins is smoothed over five; a peak has `share` of the highest at
     least. 2 to 8 peaks are tones: deviation is half the outer distance, spacing the mean gap.
     """
-    freq = with_series(own).select("capture_id", F.explode("freq").alias("x"))
-    whole = Window.partitionBy("capture_id")
-    freq = freq.withColumn("lo", F.min("x").over(whole)).withColumn("width", (F.max("x").over(whole) - F.col("lo")) / bins).where("width > 0")
+    freq = with_series(own).select("capture_id", "freq", F.array_min("freq").alias("lo"), ((F.array_max("freq") - F.array_min("freq")) / bins).alias("width"))
+    freq = freq.where("width > 0").select("capture_id", "lo", "width", F.explode("freq").alias("x"))
     cells = freq.groupBy("capture_id", "lo", "width", F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int").alias("k")).count()
     h = cells.groupBy("capture_id", "lo", "width").agg(F.map_from_entries(F.collect_list(F.struct("k", "count"))).alias("m"))
     h = h.withColumn("s", F.expr(f"transform(sequence(-1, {bins}), k -> coalesce(m[k - 2], 0) + coalesce(m[k - 1], 0) + coalesce(m[k], 0) + coalesce(m[k + 1], 0) + coalesce(m[k + 2], 0))"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,13 +55,14 @@ def reconcile(rates: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """One rate per id from methods (id, method, rate, confidence), method ranked by name.
 
     The largest group that agrees within `tolerance` of the smaller rate, the first of equals,
-    gives the confidence-weighted mean; a lone method is capped at 0.6, disagreement at 0.4.
+    gives the confidence-weighted mean; a lone method is capped at 0.6, disagreement at 0.4. Rates
+    that are null, zero or negative tell nothing.
     """
-    own = rates.where("rate is not null")
-    other = own.select(F.col("id").alias("_id"), F.col("method").alias("_m"), F.col("rate").alias("_r"), F.col("confidence").alias("_c"))
-    near = own.join(other, (F.col("id") == F.col("_id")) & (F.abs(F.col("rate") - F.col("_r")) <= tolerance * F.least("rate", "_r")))
-    w = F.greatest(F.col("_c"), F.lit(1e-3))
-    groups = near.groupBy("id", "method", "rate", "confidence").agg(F.count("*").alias("n"), (F.sum(F.col("_r") * w) / F.sum(w)).alias("mean"), F.avg("_c").alias("sure"))
+    # two rates agree if their logarithms are near: one sort for each id in place of a join of all its pairs
+    reach, w = repr(math.log1p(tolerance)), "greatest(confidence, 0.001D)"
+    near = lambda x: F.expr(f"{x} over (partition by id order by ln(if(rate > 0, rate, null)) range between {reach}D preceding and {reach}D following)")
+    # others sort apart from all rates; they go after the windows, for a filter before them would have estimators work their rates out twice
+    groups = rates.select("*", near("count(*)").alias("n"), (near(f"sum(rate * {w})") / near(f"sum({w})")).alias("mean"), near("avg(confidence)").alias("sure")).where("rate > 0")
     best = groups.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("s"), "method", "mean", "sure", "rate", "confidence", "n")).alias("x"), F.count("*").alias("methods"))
     n = F.col("x.n")
     return best.select("id", F.when(n > 1, F.col("x.mean")).otherwise(F.col("x.rate")).alias("rate"), F.when(n > 1, F.least(F.lit(0.97), F.greatest(F.lit(0.85), F.col("x.sure")))).when(F.col("methods") == 1, F.least("x.confidence", F.lit(0.6))).otherwise(F.least("x.confidence", F.lit(0.4))).alias("confidence"), n.alias("agreeing"))

@@ -498,7 +498,10 @@ def center_frequency(spark, d):
     return rounded(estimators.center_frequency(estimators.welch(_captures(spark, d), SIZE), SIZE).select("capture_id", "centroid", "peak"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {WELCH}, h AS MATERIALIZED (SELECT capture_id, f, 10 * log10(greatest(p, 1e-30)) AS d FROM psd
+), walk AS (SELECT capture_id, -17 AS f, false AS up, d AS edge, 0 AS n FROM h WHERE f = -16
+UNION ALL SELECT h.capture_id, h.f, CASE WHEN up THEN greatest(edge, d) - d < 6 ELSE d - least(edge, d) >= 6 END, CASE WHEN up AND edge - d < 6 THEN greatest(edge, d) WHEN NOT up AND d - edge < 6 THEN least(edge, d) ELSE d END, n + (up AND edge - d >= 6)::INT FROM walk JOIN h ON h.capture_id = walk.capture_id AND h.f = walk.f + 1)
+SELECT capture_id, n::BIGINT AS humps, CASE n WHEN 1 THEN 0.9 WHEN 2 THEN 0.5 ELSE 0.3 END::DOUBLE AS confidence FROM walk WHERE f = 15""")
 def density_humps(spark, d):
     return estimators.center_frequency(estimators.welch(_captures(spark, d), SIZE), SIZE).select("capture_id", "humps", "confidence")
 
@@ -528,17 +531,38 @@ def symbol_rate(spark, d):
     return rounded(scoring.reconcile(rates))
 
 
-@query()
+@query(f"""WITH {CAPTURES}, z AS (SELECT capture_id, n, i / scale AS i, q / scale AS q, total FROM s WHERE total >= 256
+), r AS (SELECT a.capture_id, a.n - b.n AS lag, a.total, sum(a.i * b.i + a.q * b.q) AS re, sum(a.q * b.i - a.i * b.q) AS im FROM z a JOIN z b ON a.capture_id = b.capture_id AND a.n - b.n BETWEEN 0 AND a.total // 4 + 1 GROUP BY ALL
+), v AS (SELECT capture_id, lag, total, sqrt(re * re + im * im) / max(re) FILTER (lag = 0) OVER (PARTITION BY capture_id) AS v FROM r
+), x AS (SELECT *, lead(v) OVER (PARTITION BY capture_id ORDER BY lag) AS next FROM v
+), b AS (SELECT capture_id, greatest(8, coalesce(min(lag) FILTER (lag >= 1 AND next > v), total) + 1) AS first, least(4096, total // 4) AS last FROM x GROUP BY capture_id, total
+), t AS (SELECT capture_id, max(v) AS top, arg_max(lag, (v, -lag)) AS lag, max(v) / median(v) AS ratio FROM x JOIN b USING (capture_id) WHERE first < last AND lag BETWEEN first AND last GROUP BY capture_id
+), o AS (SELECT *, ratio >= 8 AND top BETWEEN 0.03 AND 0.35 AS ok FROM t)
+SELECT capture_id, CASE WHEN ok THEN lag END AS useful_length, round(CASE WHEN ok THEN top * lag / (1 - top) END, 6) AS cp_length, round(ratio, 6) AS ratio, round(CASE WHEN ok THEN greatest(0.5, least(0.95, 0.5 + 0.012 * (ratio - 8))) ELSE 0 END, 6)::DOUBLE AS confidence FROM o""")
 def cyclic_prefix(spark, d):
     return rounded(estimators.cyclic_prefix(_captures(spark, d)))
 
 
-@query()
+@query(f"""WITH {CAPTURES}, z AS (SELECT capture_id, i / scale AS i, q / scale AS q, lag(i / scale) OVER w AS pi, lag(q / scale) OVER w AS pq FROM s WINDOW w AS (PARTITION BY capture_id ORDER BY n)
+), x AS (SELECT capture_id, atan2(q * pi - i * pq, i * pi + q * pq) / (2 * pi()) AS x FROM z WHERE pi IS NOT NULL
+), e AS (SELECT capture_id, min(x) AS lo, (max(x) - min(x)) / 200 AS width FROM x GROUP BY capture_id HAVING max(x) > min(x)
+), h AS (SELECT capture_id, CAST(least(floor((x - lo) / width), 199) AS BIGINT) AS k, count(*) AS c FROM x JOIN e USING (capture_id) GROUP BY ALL
+), g AS (SELECT e.capture_id, width, u.k, coalesce(sum(c), 0) AS s FROM e CROSS JOIN unnest(range(-1, 201)) AS u(k) LEFT JOIN h ON h.capture_id = e.capture_id AND h.k BETWEEN u.k - 2 AND u.k + 2 GROUP BY ALL
+), n AS (SELECT *, lag(s) OVER w AS a, lead(s) OVER w AS b, max(s) OVER (PARTITION BY capture_id) AS top FROM g WINDOW w AS (PARTITION BY capture_id ORDER BY k)
+), p AS (SELECT capture_id, (k - lag(k) OVER (PARTITION BY capture_id ORDER BY k)) * width AS gap FROM n WHERE k BETWEEN 0 AND 199 AND s >= 0.15 * top AND s > a AND s >= b
+), t AS (SELECT capture_id, count(*) AS n, avg(gap) AS mean, stddev_pop(gap) AS spread FROM p GROUP BY capture_id HAVING count(*) BETWEEN 2 AND 8)
+SELECT e.capture_id, n AS n_tones, round(mean * (n - 1) / 2, 6) AS deviation, round(mean, 6) AS spacing, round(CASE WHEN n IS NULL THEN 0 ELSE greatest(0.2, least(0.9, 0.9 - 2 * spread / mean)) END, 6)::DOUBLE AS confidence FROM e LEFT JOIN t ON t.capture_id = e.capture_id""")
 def tone_spacing(spark, d):
     return rounded(estimators.tones(_captures(spark, d)))
 
 
-@query()
+@query(f"""WITH {CAPTURES}, z AS (SELECT capture_id, n, i / scale AS i, q / scale AS q, total FROM s
+), m AS (SELECT DISTINCT capture_id, greatest(1, least(101, CASE WHEN total > 2 THEN total - 1 - total % 2 ELSE 1 END)) AS m FROM s
+), low AS (SELECT capture_id, 'low_passed' AS name, k, CASE WHEN k = 0 THEN 1 ELSE sin(0.2 * pi() * k) / (0.2 * pi() * k) END * (0.54 + 0.46 * cos(2 * pi() * k / greatest(m - 1, 1))) AS h FROM m, unnest(range(-50, 51)) AS u(k) WHERE abs(k) <= m // 2
+), root AS (SELECT k, CASE WHEN k = 0 THEN 0.65 + 1.4 / pi() ELSE (sin(pi() * k / 4 * 0.65) + 0.35 * k * cos(pi() * k / 4 * 1.35)) / (pi() * k / 4 * (1 - (0.35 * k) ** 2)) END AS h FROM unnest(range(-16, 17)) AS u(k)
+), taps AS (SELECT capture_id, name, k, h / sum(h) OVER (PARTITION BY capture_id) AS h FROM low UNION ALL SELECT capture_id, 'matched', k, h / (SELECT sqrt(sum(h * h)) FROM root) FROM m, root
+), y AS (SELECT z.capture_id, name, n + k AS n, sum(i * h) AS i, sum(q * h) AS q, any_value(total) AS total FROM z JOIN taps ON z.capture_id = taps.capture_id WHERE n + k BETWEEN 0 AND total - 1 GROUP BY ALL)
+SELECT capture_id, round(avg(i * i + q * q) FILTER (name = 'low_passed'), 6) AS low_passed, round(avg(i * i + q * q) FILTER (name = 'matched'), 6) AS matched FROM y GROUP BY capture_id""")
 def filtered_power(spark, d):
     """Mean power of the captures behind the low-pass and behind the matched filter."""
     own = _captures(spark, d)
