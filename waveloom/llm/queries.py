@@ -83,7 +83,16 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_licenses, op4_token_ids, op5_suffix, op6_simhash, op7_quality, op8_mixing, op9_toxicity, op10_embeddings)}
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import joined, scanned
+
+    found = scanned(_documents(spark, sf_dir))
+    count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
+    base = joined(F.filter("found", lambda s: s["kind"] < 3))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_licenses, op4_token_ids, op5_suffix, op6_simhash, op7_quality, op8_mixing, op9_toxicity, op10_embeddings, op13_secrets)}
 
 SQL = {
     "op8_mixing": r"""
@@ -110,5 +119,28 @@ WITH sized AS (
   FROM sized JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source
 )
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN size * (floor(rate) + (u < rate - floor(rate))::BIGINT) ELSE 0 END AS BIGINT) AS taken FROM rated
+""",
+    "op13_secrets": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), patterns(kind, name, pattern, lead, least) AS (
+  VALUES (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?', 8),
+    (1, 'access', 'AKIA[A-Z0-9]+', '', 16), (2, 'hex', '[0-9a-f]+', '', 32), (3, 'pem', '-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----', '', 0),
+    (4, 'github', '\bgh[pousr]_[A-Za-z0-9]{36,}', '', 0), (5, 'slack', '\bxox[abeprs]-[A-Za-z0-9-]{10,}', '', 0), (6, 'jwt', '\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', '', 0)
+), hits AS (
+  SELECT rid, kind, name, lead, least, regexp_extract_all(t, pattern) AS h, string_split_regex(t, pattern) AS g FROM texts, patterns WHERE regexp_matches(t, pattern)
+), each AS (
+  SELECT rid, kind, name, lead, least, unnest(h) AS hit, unnest(list_transform(g[1:len(h)], lambda x: length(x))) AS gap, unnest(range(1, len(h) + 1)) AS k FROM hits
+), placed AS (
+  SELECT *, CAST(sum(gap + length(hit)) OVER (PARTITION BY rid, kind ORDER BY k) AS BIGINT) AS e FROM each
+), kept AS (
+  SELECT rid, kind, e - length(hit) AS s, name || ':' || CAST(e - length(hit) AS VARCHAR) || ':' || CAST(e AS VARCHAR) AS span FROM placed WHERE length(regexp_replace(hit, lead, '')) >= least
+), folded AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) AS spans
+  FROM kept GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN folded USING (rid)
 """,
 }
