@@ -83,6 +83,19 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hard_negatives(table.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import joined, scanned
 
@@ -92,7 +105,7 @@ def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_licenses, op4_token_ids, op5_suffix, op6_simhash, op7_quality, op8_mixing, op9_toxicity, op10_embeddings, op13_secrets)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_licenses, op4_token_ids, op5_suffix, op6_simhash, op7_quality, op8_mixing, op9_toxicity, op10_embeddings, op11_whitening, op12_negatives, op13_secrets)}
 
 SQL = {
     "op8_mixing": r"""
@@ -119,6 +132,21 @@ WITH sized AS (
   FROM sized JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source
 )
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN size * (floor(rate) + (u < rate - floor(rate))::BIGINT) ELSE 0 END AS BIGINT) AS taken FROM rated
+""",
+    "op12_negatives": r"""
+WITH whole AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(CAST(c AS DOUBLE)))) = 0
+), scores AS (
+  SELECT a.rid AS rid, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM whole a JOIN whole b ON a.vec_id % 50 = 0 AND a.rid <> b.rid
+), positives AS (
+  SELECT rid, anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.rid, p.positive_id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank, n.id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON p.rid = n.rid AND NOT n.same AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.rid, p.positive_id ORDER BY n.score DESC, n.id) <= 3
 """,
     "op13_secrets": r"""
 WITH texts AS (

@@ -87,10 +87,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unseen(addresses: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
-    """(blob, id, rows, todo) of the blobs that some rule has not met: the least id that holds it, how often it stands, and those rules."""
-    blobs = addresses.groupBy("blob").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
-    todo = F.array_except(F.array(*[F.lit(r.key) for r in rules]), F.coalesce("scanned", F.array().cast("array<string>")))
-    return blobs.join(ledger.select("blob", "scanned"), "blob", "left").select("blob", "id", "rows", todo.alias("todo")).where(F.size("todo") > 0)
+    """(blob, id, todo) of the blobs that some rule has not met: the least id that holds it, and those rules as bits by their place."""
+    blobs = addresses.groupBy("blob").agg(F.min("id").alias("id"))
+    todo = sum((F.when(F.array_contains("scanned", F.lit(r.key)), 0).otherwise(1 << k) for k, r in enumerate(rules)), F.lit(0).cast("long"))
+    return blobs.join(ledger.select("blob", "scanned"), "blob", "left").select("blob", "id", todo.alias("todo")).where("todo <> 0")
 
 
 def scan(history: DataFrame, ledger_path: str, rules=RULES, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,15 +112,16 @@ def scan(history: DataFrame, ledger_path: str, rules=RULES, id: str = "doc_id",
     versions = history.select(F.struct(*[quoted(c) for c in history.columns if c != text]).alias("row"), key(id).alias("id"), quoted(text).alias("text"), blob(quoted(text)).alias("blob"))
     addresses = written(versions.select("row", "id", "blob"), "addresses")
     ledger = read_ledger(spark, ledger_path)
-    news = written(unseen(addresses, ledger, rules), "unseen")
-    new = news.select("blob", "id", "todo")
+    new = written(unseen(addresses, ledger, rules), "unseen")
     # texts travel only beyond the size that may be broadcast: of a blob, one; by blob and id, so that no blob gathers its copies
     met = versions.select("blob", "id", "text").join(sized(new), ["blob", "id"])
-    apply = lambda r, k: F.when(F.array_contains("todo", F.lit(r.key)), rule_spans(F.col("t"), r, k)).otherwise(F.array().cast(FOUND))
-    found = met.withColumn("t", F.coalesce("text", F.lit(""))).select("blob", F.col("todo").alias("scanned"), F.array_sort(F.concat(*[apply(r, k) for k, r in enumerate(rules)])).alias("found"))
+    unmet = lambda k: F.col("todo").bitwiseAND(F.lit(1 << k)) != 0
+    apply = lambda r, k: F.when(unmet(k), rule_spans(F.col("t"), r, k)).otherwise(F.array().cast(FOUND))
+    keys = F.array_compact(F.array(*[F.when(unmet(k), F.lit(r.key)) for k, r in enumerate(rules)]))
+    found = met.withColumn("t", F.coalesce("text", F.lit(""))).select("blob", keys.alias("scanned"), F.array_sort(F.concat(*[apply(r, k) for k, r in enumerate(rules)])).alias("found"))
     # rows alike in blob and id have found the same
     found = found.groupBy("blob").agg(F.any_value("scanned").alias("scanned"), F.any_value("found").alias("found"))
-    if news.limit(1).count():
+    if new.limit(1).count():
         found.write.mode("append").parquet(ledger_path)
     return with_findings(addresses, read_ledger(spark, ledger_path), rules)
 
