@@ -382,7 +382,7 @@ SELECT o_orderkey, (regexp_extract(name, '_(\\d+)ksps', 1)::DOUBLE) * 1000 AS sa
 def filename_parse(spark, d):
     own = _table(spark, d, "orders").where("o_orderdate is not null and o_custkey is not null")
     name = F.concat(F.lit("rec_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_120000Z_fc"), (F.col("o_custkey") % 900 + 1).cast("string"), F.lit("MHz_"), (F.col("o_orderkey") % 50 + 1).cast("string"), F.lit("ksps.cs16"))
-    return own.select("o_orderkey", name.alias("name")).select("o_orderkey", recordings.name_hints(F.col("name")).alias("h")).select("o_orderkey", "h.*")
+    return own.select("o_orderkey", name.alias("name")).select("o_orderkey", recordings.name_hints(F.col("name")).alias("h")).select("o_orderkey", "h.sample_rate", "h.center_freq", "h.start_time")
 
 
 @query("""WITH l AS (SELECT DISTINCT 'x' || (page_id // 2) || CASE WHEN page_id % 2 = 0 THEN '.sigmf-meta' WHEN page_id % 3 = 0 THEN '.sigmf-data' ELSE '.png' END AS path FROM pages)
@@ -630,4 +630,4 @@ def flagship(spark, d):
     return islands(spark, d)
 
 
-from waveloom.plans import measures  # noqa: E402, F401  (registers its queries)
+from waveloom.plans import measures, recorded  # noqa: E402, F401  (registers their queries)

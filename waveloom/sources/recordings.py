@@ -1,17 +1,14 @@
-"""Recordings as DataFrames: names, catalogues, headerless samples, WAV, sidecars and blocks."""
+"""Recordings as DataFrames: what names and files tell about them, catalogues, and metadata by precedence.
 
-from __future__ import annotations
+Samples are read by the `captures` source of `byteranges`.
+"""
 
-import struct
+from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sample types by suffix, and full scale by type.
-SUFFIX = {"cs8": "int8", "cs16": "int16", "cf32": "float32", "cfile": "float32", "fc32": "float32"}
-SCALE = {"int8": 128.0, "int16": 32768.0, "float32": 1.0}
-SI = {"": 1.0, "k": 1e3, "m": 1e6, "g": 1e9}
+from waveloom.sources import byteranges
 
 
 def _scaled(value: Column, unit: Column) -> Column:
@@ -20,12 +17,22 @@ def _scaled(value: Column, unit: Column) -> Column:
 
 
 def name_hints(name: Column) -> Column:
-    """sample_rate, center_freq and start_time as a file name tells them; NULL where it doesn't."""
+    """sample_rate, center_freq, start_time and notes as a file name tells them; NULL where it doesn't.
+
+    Three receivers' forms tell centre and start, tokens such as 2Msps and fc100MHz rate and centre;
+    of any other name a date with time is the start.
+    """
     get = lambda pattern, k: F.regexp_extract(name, pattern, k)
-    rate, centre, when = r"(?i)(\d+(?:\.\d+)?)([kMG]?)sps", r"(?i)fc(\d+(?:\.\d+)?)([kMG]?)hz", r"(\d{4})(\d{2})(\d{2})[_T](\d{2})(\d{2})(\d{2})Z?"
+    stamp = r"(\d{4})(\d{2})(\d{2})[_T](\d{2})(\d{2})(\d{2})Z?"
+    sharp, hdsdr, uno = rf"(?i)SDRSharp_{stamp}_(\d+)Hz_IQ", rf"(?i)HDSDR_{stamp}_(\d+(?:\.\d+)?)kHz_RF", rf"(?i)SDRuno_{stamp}_(\d+(?:\.\d+)?)([kMG]?)Hz"
+    rate, centre = r"(?i)(?<![0-9.])(\d+(?:\.\d+)?)([kMG]?)sps", r"(?i)fc[_-]?(\d+(?:\.\d+)?)([kMG]?)(?:hz)?"
     khz, hz = r"(?i)(?:^|_)(\d+)kHz(?:_|\.|$)", r"(?i)(?:^|_)(\d+)Hz(?:_|\.|$)"
-    start = F.when(get(when, 1) != "", F.concat(get(when, 1), F.lit("-"), get(when, 2), F.lit("-"), get(when, 3), F.lit("T"), get(when, 4), F.lit(":"), get(when, 5), F.lit(":"), get(when, 6), F.lit("Z")))
-    return F.struct(_scaled(get(rate, 1), get(rate, 2)).alias("sample_rate"), F.coalesce(_scaled(get(hz, 1), F.lit("")), _scaled(get(khz, 1), F.lit("k")), _scaled(get(centre, 1), get(centre, 2))).alias("center_freq"), start.alias("start_time"))
+    start = F.when(get(stamp, 1) != "", F.concat(get(stamp, 1), F.lit("-"), get(stamp, 2), F.lit("-"), get(stamp, 3), F.lit("T"), get(stamp, 4), F.lit(":"), get(stamp, 5), F.lit(":"), get(stamp, 6), F.lit("Z")))
+    found = F.coalesce(_scaled(get(sharp, 7), F.lit("")), _scaled(get(hdsdr, 7), F.lit("k")), _scaled(get(uno, 7), get(uno, 8)), _scaled(get(hz, 1), F.lit("")), _scaled(get(khz, 1), F.lit("k")), _scaled(get(centre, 1), get(centre, 2)))
+    form = F.when(get(sharp, 7) != "", "SDRSharp").when(get(hdsdr, 7) != "", "HDSDR").when(get(uno, 7) != "", "SDRuno").when(found.isNotNull(), "name")
+    speed = _scaled(get(rate, 1), get(rate, 2))
+    notes = F.array_compact(F.array(F.when(form.isNotNull(), F.concat(form, F.lit(": centre "), F.format_string("%.0f", found), F.lit(" Hz"))), F.when(speed.isNotNull(), F.concat(F.lit("name: sample rate "), F.format_string("%.0f", speed), F.lit(" Hz")))))
+    return F.struct(speed.alias("sample_rate"), found.alias("center_freq"), start.alias("start_time"), notes.alias("notes"))
 
 
 def metadata_confidence(rate_source: Column, centre_source: Column) -> Column:
@@ -40,6 +47,11 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
+def folder(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files at or below a path, empty ones included, which `files` leaves out; listed where the read is planned, as Spark lists folders."""
+    return spark.createDataFrame(list(byteranges.listed(path).items()), "path string, length long")
+
+
 def catalogue(listing: DataFrame) -> DataFrame:
     """Captures of a listing (path): without hidden files and reports, and without sidecars whose data file is there."""
     own = listing.withColumn("name", F.element_at(F.split("path", "/"), -1)).where("name not like '.%'")
@@ -53,122 +65,70 @@ def identity(listing: DataFrame) -> DataFrame:
     return listing.select("path", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("bytes"))
 
 
-def decode_interleaved(raw: bytes, kind: str) -> np.ndarray:
-    """Complex samples of interleaved I, Q; an odd last value is dropped."""
-    x = np.frombuffer(raw, {"int8": "<i1", "int16": "<i2", "float32": "<f4"}[kind], len(raw) // {"int8": 1, "int16": 2, "float32": 4}[kind]).astype(np.float32) / SCALE[kind]
-    x = x[: len(x) // 2 * 2]
-    return x[0::2] + 1j * x[1::2]
-
-
-def guess_kind(raw: bytes) -> tuple[str, float]:
-    """The sample type under which the bytes look most like a signal, and its share of all scores."""
-    scores = {}
-    for kind, size in (("int8", 1), ("int16", 2), ("float32", 4)):
-        x = np.frombuffer(raw[: len(raw) // size * size], {1: "<i1", 2: "<i2", 4: "<f4"}[size]).astype(np.float64)
-        with np.errstate(all="ignore"):
-            x = np.where(np.isfinite(x) & (np.abs(x) < 1e6), x, 0.0)
-            sd = x.std()
-            if not sd:
-                scores[kind] = 1e-6
-                continue
-            z = (x - x.mean()) / sd
-            kurtosis = (z**4).mean() - 3
-            clipped = np.mean(np.abs(x) >= {"int8": 127, "int16": 32767, "float32": 1e4}[kind])
-            zeros = np.mean(x == 0)
-            follow = min(abs(np.mean(z[0::2][1:] * z[0::2][:-1])), abs(np.mean(z[1::2][1:] * z[1::2][:-1]))) if len(z) > 4 else 0.0
-        scores[kind] = max(1e-9, np.exp(-3 * abs(x.mean()) / sd) * np.exp(-max(kurtosis, 0) / 2 - max(-kurtosis - 0.5, 0) / 3) * (1 - min(5 * clipped, 1)) * (1 - min(3 * max(zeros - 0.1, 0), 1)) * min(1.0, 0.15 + 3 * follow))
-    best = max(scores, key=scores.get)
-    return best, round(min(0.98, scores[best] / sum(scores.values())), 3)
-
-
-def riff_chunks(raw: bytes):
-    """(name, body) of the chunks of a RIFF file."""
-    at = 12
-    while at + 8 <= len(raw):
-        name, size = raw[at : at + 4], struct.unpack("<I", raw[at + 4 : at + 8])[0]
-        yield name, raw[at + 8 : at + 8 + size]
-        at += 8 + size + size % 2
-
-
-def read_wav(raw: bytes) -> dict:
-    """Rate, samples and, if an `auxi` chunk tells it, centre frequency of a WAV file; mono becomes analytic."""
-    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
-        raise ValueError("not a WAV file")
-    found = dict(riff_chunks(raw))
-    code, channels, rate, _, _, bits = struct.unpack("<HHIIHH", found[b"fmt "][:16])
-    if channels not in (1, 2) or not found.get(b"data"):
-        raise ValueError("a WAV file needs one or two channels and frames")
-    body = found[b"data"]
-    if code == 3:
-        x = np.frombuffer(body, "<f4" if bits == 32 else "<f8").astype(np.float64)
-    elif bits == 24:
-        b = np.frombuffer(body[: len(body) // 3 * 3], np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 8388608.0
-    else:
-        x = np.frombuffer(body, {8: "<u1", 16: "<i2", 32: "<i4"}[bits]).astype(np.float64)
-        x = (x - 128) / 128 if bits == 8 else x / float(1 << (bits - 1))
-    auxi = found.get(b"auxi", b"")
-    centre = struct.unpack("<I", auxi[32:36])[0] if len(auxi) >= 36 else 0
-    return {"sample_rate": float(rate), "center_freq": float(centre) if 0 < centre < 0xFFFFFFFF else None, "samples": x[0::2] + 1j * x[1::2] if channels == 2 else analytic(x), "stereo": channels == 2}
-
-
-def analytic(x: np.ndarray) -> np.ndarray:
-    """The analytic signal of a real one."""
-    n, spectrum = len(x), np.fft.fft(x)
-    keep = np.zeros(n)
-    keep[0] = 1
-    keep[1 : (n + 1) // 2] = 2
-    if n % 2 == 0 and n:
-        keep[n // 2] = 1
-    return np.fft.ifft(spectrum * keep)
-
-
-def captures(listing: DataFrame) -> DataFrame:
-    """One row per file (path, content): samples as arrays with rate, centre, type and confidence, or an error.
-
-    A file that can't be read gives a row with its error, never a failed task.
+def sidecars(meta: DataFrame) -> DataFrame:
+    """Rate, centre, start and type of metadata files (path, content) in the paired JSON form."""
+    schema = "global struct<`core:datatype`:string,`core:sample_rate`:double>, captures array<struct<`core:frequency`:double,`core:datetime`:string>>"
+    own = meta.select(F.regexp_replace("path", r"\.sigmf-meta$", "").alias("stem"), F.from_json(F.col("content").cast("string"), schema).alias("m"))
+    first = F.try_element_at("m.captures", F.lit(1))
+    return own.select("stem", F.col("m.global.`core:datatype`").alias("datatype"), F.col("m.global.`core:sample_rate`").alias("sample_rate"), first["core:frequency"].alias("center_freq"), first["core:datetime"].alias("start_time"))
+
+
+LAYOUT = "path string, data_path string, source_format string, kind string, kind_confidence double, kind_scores map<string,double>, file_rate double, file_center double, file_start string, n_samples long, data_offset long, file_notes array<string>, error string"
+
+
+def paired(listing: DataFrame) -> DataFrame:
+    """(path, length, meta) of the captures of a listing (path, length, ...): meta is the sidecar, or of a sidecar without data itself."""
+    name = F.element_at(F.split("path", "/"), -1)
+    own = listing.select("path", "length").where(~name.rlike(r"^[._]") & ~F.lower("path").rlike(r"\.(json|csv|html|png|md|txt|py|npz|npy|parquet|crc)$"))
+    metas = own.where("path like '%.sigmf-meta'").select(F.col("path").alias("meta"))
+    data = own.where("path not like '%.sigmf-meta'")
+    names = F.array(F.regexp_replace("path", r"\.[^./]*$", ".sigmf-meta"), F.concat("path", F.lit(".sigmf-meta")))
+    near = data.select("path", F.posexplode(names).alias("rank", "meta")).join(metas, "meta").groupBy("path").agg(F.min_by("meta", "rank").alias("meta"))
+    alone = metas.join(near.select("meta"), "meta", "left_anti").select(F.col("meta").alias("path"), F.lit(0).cast("long").alias("length"), "meta")
+    return data.join(near, "path", "left").select("path", "length", "meta").union(alone)
+
+
+def layouts(listing: DataFrame, kind: str | None = None) -> DataFrame:
+    """LAYOUT of each capture of a listing (path, length, ...), with an error where a file can't be read.
+
+    Sidecars are joined by name; then tasks open the files for some ranges of bytes, never for their samples.
     """
     import pandas as pd
 
     def read(frames):
+        columns = [c.split(" ")[0] for c in LAYOUT.split(", ")]
         for pdf in frames:
             out = []
-            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                row = {"path": path, "i": None, "q": None, "sample_rate": None, "center_freq": None, "kind": None, "confidence": None, "error": None}
+            for path, length, meta in zip(pdf["path"], pdf["length"], pdf["meta"], strict=True):
                 try:
-                    suffix = path.rsplit(".", 1)[-1].lower()
-                    if not raw:
-                        raise ValueError("empty file")
-                    if suffix == "wav":
-                        got = read_wav(raw)
-                        y, row["sample_rate"], row["center_freq"], row["kind"], row["confidence"] = got["samples"], got["sample_rate"], got["center_freq"], "wav", 1.0
-                    else:
-                        row["kind"], row["confidence"] = (SUFFIX[suffix], 0.95) if suffix in SUFFIX else guess_kind(raw[: 4 << 20])
-                        y = decode_interleaved(raw, row["kind"])
-                    if not len(y):
-                        raise ValueError("no complete sample")
-                    row["i"], row["q"] = y.real.astype(np.float32).tolist(), y.imag.astype(np.float32).tolist()
-                except (ValueError, KeyError, struct.error) as e:
-                    row["error"] = f"{path.rsplit('/', 1)[-1]}: {e}"
-                out.append(row)
-            yield pd.DataFrame(out, columns=["path", "i", "q", "sample_rate", "center_freq", "kind", "confidence", "error"])
-
-    return listing.select("path", "content").mapInPandas(read, "path string, i array<float>, q array<float>, sample_rate double, center_freq double, kind string, confidence double, error string")
-
-
-def blocks(arrays: DataFrame, size: int, overlap: float = 0.25) -> DataFrame:
-    """Overlapping blocks of captures (path, i, q): (path, block, n0, i, q); the last may be short."""
-    step = max(1, int(size * (1 - overlap)))
-    n = F.size("i")
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    own = arrays.where(n > 0).withColumn("block", F.explode(F.sequence(F.lit(0), last)))
-    at = F.col("block") * step
-    return own.select("path", "block", at.alias("n0"), F.slice("i", at + 1, F.lit(size)).alias("i"), F.slice("q", at + 1, F.lit(size)).alias("q"))
+                    sizes = {path: int(length)} | ({meta: 1} if isinstance(meta, str) else {})
+                    at = byteranges.layout(path, sizes, kind)
+                    out.append((path, at.path, at.source_format, at.kind, at.confidence, {k: round(v, 3) for k, v in at.scores.items()}, at.sample_rate, at.center_freq, at.start_time, at.count, at.offset, list(at.notes), None))
+                except (byteranges.CaptureError, OSError) as e:
+                    out.append((path, *[None] * 11, str(e)))
+            yield pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in ("n_samples", "data_offset")})
 
+    return paired(listing).mapInPandas(read, LAYOUT)
 
-def sidecars(meta: DataFrame) -> DataFrame:
-    """Rate, centre, start and type of metadata files (path, content) in the paired JSON form."""
-    schema = "global struct<`core:datatype`:string,`core:sample_rate`:double>, captures array<struct<`core:frequency`:double,`core:datetime`:string>>"
-    own = meta.select(F.regexp_replace("path", r"\.sigmf-meta$", "").alias("stem"), F.from_json(F.col("content").cast("string"), schema).alias("m"))
-    first = F.try_element_at("m.captures", F.lit(1))
-    return own.select("stem", F.col("m.global.`core:datatype`").alias("datatype"), F.col("m.global.`core:sample_rate`").alias("sample_rate"), first["core:frequency"].alias("center_freq"), first["core:datetime"].alias("start_time"))
+
+def described(listing: DataFrame, sample_rate: float | None = None, center_freq: float | None = None, kind: str | None = None) -> DataFrame:
+    """Metadata of each capture of a listing (path, length, ...): what the caller gives, else the file or its sidecar, else its name.
+
+    Without any rate it is 1 and frequencies are shares of it (`normalised`). metadata_confidence is
+    that of where rate and centre come from. A file that can't be read has a row with its error.
+    """
+    own = layouts(listing, kind).withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("h", name_hints(F.col("name")))
+    rate = [("user", F.lit(sample_rate).cast("double")), (None, F.when(F.col("file_rate") > 0, F.col("file_rate"))), ("filename", F.col("h.sample_rate"))]
+    centre = [("user", F.lit(center_freq).cast("double")), (None, F.col("file_center")), ("filename", F.col("h.center_freq"))]
+    told = {"rate": F.when(F.col("source_format") == "sigmf", "sigmf").otherwise("wav"), "centre": F.when(F.col("source_format") == "sigmf", "sigmf").otherwise("auxi")}
+    first = lambda ranked: F.coalesce(*[v for _, v in ranked])
+    source = lambda ranked, of: F.coalesce(*[F.when(v.isNotNull(), told[of] if s is None else F.lit(s)) for s, v in ranked])
+    own = own.withColumn("rate", first(rate)).withColumn("rate_source", F.coalesce(source(rate, "rate"), F.lit("unknown"))).withColumn("center_freq", first(centre)).withColumn("center_source", source(centre, "centre"))
+    missing = F.array_compact(F.array(F.when(F.col("rate").isNull(), F.lit("sample rate unknown; frequencies are shares of it")), F.when(F.col("center_freq").isNull(), F.lit("centre frequency unknown; frequencies are offsets from it"))))
+    fine = F.col("error").isNull()
+    return own.select(
+        "path", "name", "data_path", "source_format", "kind", "kind_confidence", "kind_scores", "n_samples", "data_offset",
+        F.when(fine, F.coalesce("rate", F.lit(1.0))).alias("sample_rate"), F.when(fine, F.col("rate_source")).alias("rate_source"), F.when(fine, F.col("center_freq")).alias("center_freq"), F.when(fine, F.col("center_source")).alias("center_source"),
+        F.when(fine, F.coalesce("file_start", "h.start_time")).alias("start_time"), F.when(fine, metadata_confidence(F.col("rate_source"), F.coalesce("center_source", F.lit("none")))).alias("metadata_confidence"),
+        F.when(fine, F.col("rate").isNull()).alias("normalised"), F.when(fine, F.array_distinct(F.concat("file_notes", missing, "h.notes"))).alias("notes"), "error",
+    )
