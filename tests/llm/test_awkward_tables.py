@@ -93,3 +93,52 @@ def test_scratch_tables_go_with_their_scope(spark):
         path = common.written(spark.range(3), "x").inputFiles()[0].removeprefix("file://")
         assert Path(path).exists()
     assert not Path(path).exists()
+
+
+def test_columns_of_any_name(spark, docs):
+    import corpus_pipeline
+    from waveloom.llm import decontam, mixing, quality, simhash
+
+    odd = docs.drop("size").selectExpr("*", "doc_id as `x.y`", "source as Size", "text as TEXT2", "1 as `a``b`", "2 as `row.text`", "3 as At")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, "quite another text of nine words in all here")], "item_id long, text string")
+    own = Counter(map(tuple, odd.collect()))
+    for got in (mixing.emitted(odd), quality.accepted(odd, marks, threshold=0.0), simhash.first_of_groups(odd), decontam.clean(odd, items)):
+        assert got.columns == odd.columns and set(map(tuple, got.collect())) <= set(own)
+    assert Counter(map(tuple, quality.accepted(odd, marks, threshold=0.0).collect())) == own == Counter(map(tuple, decontam.clean(odd, items).collect()))
+    scored = quality.scored(odd, marks)
+    assert scored.columns == [*odd.columns, "quality_score", "quality_pred"] and Counter(map(tuple, scored.select(*[f"`{c.replace('`', '``')}`" for c in odd.columns]).collect())) == own
+    mixed = mixing.mixed(odd)
+    assert "Size" not in mixed.columns and mixed.columns[-4:] == ["size", "source_size", "target", "copies"] and {(r["doc_id"], r["x.y"]) for r in mixed.collect()} == {(r["doc_id"], r["x.y"]) for r in odd.collect()}
+    kept = odd
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, kept, "/root/testdata/sf0.001")
+        assert kept.columns == odd.columns and set(map(tuple, kept.collect())) <= set(own), name
+
+
+def test_stages_on_empty_and_very_long_texts(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "word " * 200_000, "a"), (2, "", "a"), (3, None, None), (4, "y" * 1_000_000, "b")], "doc_id long, text string, source string")
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            kept = stage(spark, kept, "/root/testdata/sf0.001")
+            rows = kept.collect()
+            assert len(rows) <= 12 and (table is docs or not rows), name
+        assert table is not docs or {1} <= {r["doc_id"] for r in rows}
+
+
+def test_other_versions_encode_whole_texts(monkeypatch):
+    import public_tokenizers
+
+    from waveloom.llm import tokens
+
+    texts = ["Some words, 12 of them  and\n more. ", None, "", "don't   stop", "x" * 50]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known = tokens.PieceEncoder(path)
+    monkeypatch.setitem(tokens.VERSIONS, "regex", "1.0")
+    other = tokens.PieceEncoder(path)
+    assert known.plain and not other.plain
+    for a, b in zip(known.encode(texts, 0), other.encode(texts, 0), strict=True):
+        assert a.tolist() == b.tolist()

@@ -64,6 +64,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def quoted(name: str):
+    """The column of exactly this name, dots and back-quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_rows(docs: DataFrame):
+    """The columns of docs as one struct `row`, whatever their names; `row.*` gives them back."""
+    return F.struct(*[quoted(c) for c in docs.columns]).alias("row")
+
+
+def text_slices(batch, texts, limit: int = 1 << 20):
+    """(slice of an Arrow batch, slice of its texts) with about `limit` bytes of text at most, one row at least."""
+    _, offsets = text_buffer(texts)
+    n, lo = len(offsets) - 1, 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        yield batch.slice(lo, hi - lo), texts.slice(lo, hi - lo)
+        lo = hi
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

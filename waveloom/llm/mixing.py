@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import as_rows, sized, written
 
 WEIGHTS, MOST, SEED = (5.0, 2.0, 1.0), 3, "mix"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -31,7 +31,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 
     Weights repeat along the sources in code point order, null last. A source whose target would
     exceed `most` times its size stops there; the excess is shared again by weight until none
-    is above. The level is found by rounds of one small aggregate each, so no source table is
+    is above; an empty table gives no rows, sources of no size have target 0, and other columns
+    are left out. The level is found by rounds of one small aggregate each, so no source table is
     gathered; each round caps at least one more source.
     """
     spark = sizes.sparkSession
@@ -62,7 +63,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 
 def _taken(docs: DataFrame, weights: tuple[float, ...], most: int, seed: str) -> DataFrame:
     """(row, size, source_size, target, copies): row holds the columns of docs, whatever their names."""
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), n_words(F.col("text")).alias("size"))
+    own = docs.select(as_rows(docs), n_words(F.col("text")).alias("size"))
     sizes = docs.select("source", n_words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     table = sized(written(targets(sizes, weights, most), "targets").withColumnRenamed("source", "of"))
     own = own.join(table, own["row.source"].eqNullSafe(table["of"]))
@@ -76,13 +77,17 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
 
     Null texts have size 0 and a null source is a source; documents without words are not
     taken. Rows with the same id, or none, draw alike. An empty table gives no rows; texts of any
-    length are counted whole. Columns of docs keep their names; size, source_size, target and
-    copies replace any of that name.
+    length are counted whole. Columns of docs keep their names, dots included; size, source_size,
+    target and copies replace any of that name, in whatever case.
     """
-    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies")]
     return _taken(docs, weights, most, seed).select(*kept, "size", "source_size", "target", "copies")
 
 
 def emitted(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The rows of the mix itself, a repeated document repeated, with the columns of docs as they are."""
+    """The rows of the mix itself, a repeated document repeated, with the columns of docs as they are, of any names.
+
+    As in `mixed`: null texts and such without words are not taken, a null source is a source,
+    rows of one id draw alike, repeated rows count each, and an empty table gives no rows.
+    """
     return _taken(docs, weights, most, seed).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

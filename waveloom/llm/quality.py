@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import as_rows, small_batches, written
 from .words import LOWER, MARK, mix, pieces, prefix_sums, slice_hash, words_of
 
 DIMS, SAMPLE, COST, ROUNDS, SEED, THRESHOLD = 1 << 18, 8_000, 1.0, 12, 11, 0.3
@@ -174,10 +174,12 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sam
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shipped.value.score(b.column("text")))], [*b.schema.names, "quality_score"])
+            row = b.column("row")
+            yield pa.RecordBatch.from_arrays([row, pa.array(shipped.value.score(row.field("text")))], ["row", "quality_score"])
 
-    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
-    return out.withColumn("quality_pred", (F.col("quality_score") >= threshold).cast("int"))
+    rows = docs.select(as_rows(docs))
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return out.select("row.*", "quality_score", (F.col("quality_score") >= threshold).cast("int").alias("quality_pred"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, dims: int = DIMS) -> DataFrame:
@@ -189,6 +191,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(shipped.value.score(b.column("text")) >= threshold))
+            yield b.filter(pa.array(shipped.value.score(b.column("row").field("text")) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(as_rows(docs))
+    return rows.mapInArrow(run, rows.schema).select("row.*")

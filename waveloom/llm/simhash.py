@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, min_labels, partitions, sized, small_batches, whole_groups, written
+from .common import as_rows, components, min_labels, partitions, sized, small_batches, whole_groups, written
 
 WORDS, BITS, SEED = 4, 4, 42
 #: Distinct fingerprints under one root beyond which it is split under a second block.
@@ -186,7 +186,7 @@ def first_of_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed:
             fp = np.array([fingerprint(t, words, seed) for t in b.column("row").field("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("at"), pa.array(fp, pa.int64())], ["row", "at", "fp"])
 
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at"))
+    own = docs.select(as_rows(docs), F.monotonically_increasing_id().alias("at"))
     rows = written(own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("fp", T.LongType())])), "simhash")
     keys = rows.select("fp", "at", F.col("row.doc_id").cast("long").alias("id"))
     roots = sized(written(grouped(keys, bits), "groups"))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch_path, small_batches, written
+from .common import partitions, scratch_path, small_batches, text_slices, written
 
 #: Ids per word and bits per id of selectors 0 to 14 (0 and 1 are runs of zeros); 15 escapes.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2], np.int64)
@@ -26,6 +26,8 @@ ESCAPE, BLOCK = 15, 240
 _BITS = np.array([k.bit_length() for k in range(65536)], np.int8)
 #: Fixed value: where the byte-level pre-tokenizer cuts.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Versions of the tokenizer and of `regex` for which UNLIKE holds; with others all texts are encoded whole.
+VERSIONS = {"tokenizers": "0.23.3", "regex": "2026.9.29"}
 #: Fixed value: code points of which the tokenizer's own tables of letters and numbers and those of `regex` differ.
 UNLIKE = (
     "\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F"
@@ -211,12 +213,14 @@ class PieceEncoder:
     pre-tokenizer cuts, and the next piece begins with that space, so such pieces encode on their
     own. Texts with a code point that is cut unlike and, if `special`, with an added token, which
     then is one id as in the library's own setting (else it is text like any other), are encoded
-    whole, and so is every text if the file's tokenizer is no plain byte-level BPE. What is
+    whole, and so is every text if the file's tokenizer is no plain byte-level BPE or the libraries
+    are other versions than the list of such code points was made for. What is
     remembered is bounded; past the bound the older half stays, which holds the frequent pieces.
     """
 
     def __init__(self, path: str, special: bool = False):
         import json
+        from importlib.metadata import version
 
         import regex
         from tokenizers import Tokenizer
@@ -226,7 +230,8 @@ class PieceEncoder:
         form = json.loads(self.tokenizer.to_str())
         cutter, model = form["pre_tokenizer"] or {}, form["model"]
         plain = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True) and not form["normalizer"] and not form["truncation"] and not form["padding"]
-        self.plain = plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        known = all(version(name) == own for name, own in VERSIONS.items())
+        self.plain = known and plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
         if not self.plain:
             return
         self.cut, self.model = regex.compile(CUTS).findall, self.tokenizer.model.tokenize
@@ -389,15 +394,20 @@ def unpack(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encoded(docs: DataFrame, path: str, end: int = 0, special: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, payload) for each row of docs; null texts count as empty."""
+    """(doc_id, n_tokens, payload) for each row of docs (doc_id, text, ...).
+
+    Null texts count as empty; long texts are encoded whole, and a task works on about a megabyte of
+    text at once beside what it remembers. Null and repeated ids and repeated rows have a payload
+    each; other columns are ignored, and an empty table gives no rows.
+    """
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
 
     def run(batches):
         encoder = _encoder(path, special)
-        for b in batches:
-            ids, bounds = encoder.encode(b.column("text"), end)
+        for b, texts in chain.from_iterable(text_slices(b, b.column("text")) for b in batches):
+            ids, bounds = encoder.encode(texts, end)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds)), pa.array(pack(ids, bounds), pa.binary())], ["doc_id", "n_tokens", "payload"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, payload binary")
@@ -421,7 +431,9 @@ def write_ids(docs: DataFrame, tokenizer: str, out: str, end: int = 0, special:
 def read_ids(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of a dataset that write_ids wrote, all decoded from its payloads.
 
-    start is the number of ids of all documents before; per-part totals alone pass the driver.
+    start is the number of ids of all documents before; per-part totals alone pass the driver. Rows
+    come as they were written: repeated and null ids each have theirs, in the order of the dataset,
+    and an empty dataset gives no rows.
     """
     import pyarrow as pa
 
