@@ -76,6 +76,50 @@ def humps(heights: Column, rise: Column | float = 6.0) -> Column:
     return F.aggregate(heights, state, step, lambda s: s["n"])
 
 
+def _prominences(x: np.ndarray) -> list[tuple[int, float, float]]:
+    """(position, height, prominence) of the maxima of an array; a plateau counts at its middle, the ends never.
+
+    A maximum's prominence is its height over the higher of the two lowest points between it and the
+    nearest higher value on either side, or the end. One pass each way keeps a stack of falling
+    heights, each with the lowest point since the higher one before it.
+    """
+    if len(x) < 3:
+        return []
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    v = x[first].tolist()
+    middle_of = (first + np.r_[first[1:], len(x)] - 1) // 2
+
+    def lowest(order):
+        out, stack = [0.0] * len(v), []
+        for k in order:
+            low = v[k]
+            while stack and stack[-1][0] <= v[k]:
+                low = min(low, stack.pop()[1])
+            stack.append((v[k], low))
+            out[k] = low
+        return out
+
+    left, right = lowest(range(len(v))), lowest(range(len(v) - 1, -1, -1))
+    return [(int(middle_of[k]), v[k], v[k] - max(left[k], right[k])) for k in range(1, len(v) - 1) if v[k - 1] < v[k] > v[k + 1]]
+
+
+def peaks(heights: DataFrame, least: float = 0.0) -> DataFrame:
+    """(capture_id, position, height, prominence) of the maxima of arrays (capture_id, d) that stand out by `least` or more; see `_prominences`.
+
+    Arrays are spectra of bounded length. Those without a maximum give no rows.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [(c, *r) for c, d in zip(b.column("capture_id").to_pylist(), b.column("d").to_pylist(), strict=True) if d for r in _prominences(np.asarray(d, float)) if r[2] >= least]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["capture_id", "position", "height", "prominence"])
+
+    return heights.select(F.col("capture_id").cast("long").alias("capture_id"), F.col("d").cast("array<double>").alias("d")).mapInArrow(run, "capture_id long, position long, height double, prominence double")
+
+
 def center_frequency(psd: DataFrame, size: int) -> DataFrame:
     """(capture_id, centroid, peak, humps, confidence) of densities (capture_id, f, p); peak between bins by a parabola in dB."""
     w = Window.partitionBy("capture_id").orderBy("f")
