@@ -30,6 +30,86 @@ def faults(detections: DataFrame) -> DataFrame:
     return detections.where(bad)
 
 
+#: The keys of each object of a report, by path; [] stands for any place of a list.
+KEYS = {
+    "report": "schema_version file capture noise_floor_dbfs detections warnings runtime_s",
+    "report.file": "name sha256 bytes",
+    "report.capture": "sample_rate_hz center_freq_hz center_freq_source duration_s dtype dtype_confidence frequencies_are_normalised notes",
+    "report.detections[]": "id time_start_s time_stop_s duration_s center_freq_hz center_freq_offset_hz bandwidth_hz snr_db power_dbfs symbol_rate_hz modulation extra",
+    "report.detections[].bandwidth_hz": "occupied_99 minus_3db minus_20db",
+    "report.detections[].symbol_rate_hz": "value confidence method",
+    "report.detections[].modulation": "label confidence runner_up runner_up_confidence votes evidence",
+}
+#: What stands at a path: numbers, those that may be null, shares of 1, texts that aren't empty, lists, objects and objects that may be null.
+NUMBERS = [f"report.{k}" for k in ("runtime_s", "capture.sample_rate_hz")] + [f"report.detections[].{k}" for k in ("time_start_s", "time_stop_s", "duration_s")]
+NULLABLE = ["report.noise_floor_dbfs", "report.capture.center_freq_hz"] + [f"report.detections[].{k}" for k in ("center_freq_hz", "center_freq_offset_hz", "power_dbfs", "bandwidth_hz.occupied_99", "bandwidth_hz.minus_3db", "bandwidth_hz.minus_20db", "symbol_rate_hz.value")]
+SHARES = [f"report.detections[].{k}.confidence" for k in ("symbol_rate_hz", "modulation")]
+TEXTS = ["report.detections[].symbol_rate_hz.method", "report.detections[].modulation.label", "report.warnings[]"]
+LISTS = ["report.warnings", "report.detections", "report.detections[].modulation.evidence"]
+OBJECTS = ["report", "report.file", "report.capture", "report.detections[]", "report.detections[].bandwidth_hz", "report.detections[].extra"]
+MAYBE = ["report.detections[].symbol_rate_hz", "report.detections[].modulation"]
+BELOW = "< 0 dB"
+
+
+def nodes(reports: DataFrame, depth: int = 4) -> DataFrame:
+    """(capture_id, path, place, kind, value, keys, size) of every value of reports (capture_id, report), JSON texts, down to `depth` steps.
+
+    place is the path with the numbers of list places, path the same with [] for them; kind is
+    object, list, text, number, truth or null, and `not JSON` of a report that can't be read.
+    """
+    spark = reports.sparkSession
+    tops = reports.select("capture_id", F.lit("report").alias("path"), F.lit("report").alias("place"), F.try_parse_json("report").alias("v"), F.lit(True).alias("top"))
+    level, out = tops, tops
+    for _ in range(depth):
+        level = spark.sql(
+            "SELECT capture_id, path || CASE WHEN key IS NULL THEN '[]' ELSE '.' || key END AS path, place || CASE WHEN key IS NULL THEN '[' || pos || ']' ELSE '.' || key END AS place, value AS v, false AS top FROM {level}, LATERAL variant_explode(v)",
+            level=level,
+        )
+        out = out.union(level)
+    form = F.schema_of_variant("v")
+    kind = F.when(F.col("v").isNull(), "not JSON").when(F.is_variant_null("v"), "null").when(form.startswith("OBJECT"), "object").when(form.startswith("ARRAY"), "list").when(form == "STRING", "text").when(form == "BOOLEAN", "truth").otherwise("number")
+    text = F.to_json("v")
+    return out.select("capture_id", "path", "place", kind.alias("kind"), F.when(form == "STRING", F.try_variant_get("v", "$", "string")).otherwise(text).alias("value"), F.when(form.startswith("OBJECT"), F.json_object_keys(text)).alias("keys"), F.when(form.startswith("ARRAY"), F.json_array_length(text)).alias("size"))
+
+
+def report_faults(reports: DataFrame) -> DataFrame:
+    """(capture_id, place, fault), a row for each fault of reports (capture_id, report): keys that are missing or too many, values of another kind, shares outside 0 to 1, under two sentences of evidence, another version."""
+    all_ = nodes(reports)
+    keys = F.create_map(*[x for k, v in KEYS.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))])
+    want = keys[F.col("path")]
+    number = F.col("value").cast("double")
+    is_in = lambda paths: F.col("path").isin(paths)
+    fault = (
+        F.when(F.col("kind") == "not JSON", "not JSON")
+        .when(is_in(OBJECTS) & (F.col("kind") != "object"), F.concat(F.lit("expected an object, got "), "kind"))
+        .when(is_in(MAYBE) & ~F.col("kind").isin("object", "null"), F.concat(F.lit("expected an object or null, got "), "kind"))
+        .when(is_in(LISTS) & (F.col("kind") != "list"), F.concat(F.lit("expected a list, got "), "kind"))
+        .when(is_in(NUMBERS + SHARES) & (F.col("kind") != "number"), F.concat(F.lit("expected a number, got "), "kind"))
+        .when(is_in(NULLABLE) & ~F.col("kind").isin("number", "null"), F.concat(F.lit("expected a number or null, got "), "kind"))
+        .when(is_in(SHARES) & ~number.between(0, 1), "outside 0 to 1")
+        .when(is_in(TEXTS) & ((F.col("kind") != "text") | (F.col("value") == "")), F.lit("expected a text"))
+        .when((F.col("path") == "report.detections[].snr_db") & ~F.col("kind").isin("number", "null") & ~((F.col("kind") == "text") & (F.col("value") == BELOW)), F.lit("expected a number, null or the mark of no signal"))
+        .when((F.col("path") == "report.detections[].modulation.evidence") & (F.col("size") < 2), "under two sentences")
+        .when((F.col("path") == "report.schema_version") & ~((F.col("kind") == "text") & (F.col("value") == SCHEMA_VERSION)), "another version")
+    )
+    own = all_.select("capture_id", "place", fault.alias("fault")).where("fault is not null")
+    named = lambda a, b, said: all_.where(want.isNotNull() & (F.col("kind") == "object")).select("capture_id", "place", F.explode(F.array_except(a, b)).alias("k")).select("capture_id", "place", F.concat(F.lit(f"{said} "), "k").alias("fault"))
+    return own.union(named(want, F.col("keys"), "missing")).union(named(F.col("keys"), want, "unexpected"))
+
+
+def meta_documents(detections: DataFrame, captures: DataFrame) -> DataFrame:
+    """(capture_id, meta): the metadata document of each capture of captures (capture_id, sample_rate, center_freq, start_time), with an annotation for each of its detections (capture_id, t0, t1, f_lo, f_hi, label), in seconds and Hz from the centre."""
+    rate, centre = F.col("sample_rate"), F.col("center_freq")
+    first = F.round(F.col("t0") * rate).cast("long")
+    edge = lambda c: F.when(F.col("f_hi") > F.col("f_lo"), centre + F.col(c))
+    note = F.struct(first.alias("core:sample_start"), F.greatest(F.lit(1), F.round((F.col("t1") - F.col("t0")) * rate)).cast("long").alias("core:sample_count"), edge("f_lo").alias("core:freq_lower_edge"), edge("f_hi").alias("core:freq_upper_edge"), F.col("label").alias("core:label"))
+    notes = detections.join(captures.select("capture_id", "sample_rate", "center_freq"), "capture_id").groupBy("capture_id").agg(F.sort_array(F.collect_list(note)).alias("annotations"))
+    kind = "array<struct<`core:sample_start`:bigint,`core:sample_count`:bigint,`core:freq_lower_edge`:double,`core:freq_upper_edge`:double,`core:label`:string>>"
+    head = F.struct(F.lit("cf32_le").alias("core:datatype"), F.lit("1.0.0").alias("core:version"), F.lit(1).alias("core:num_channels"), rate.alias("core:sample_rate"))
+    start = F.struct(F.lit(0).alias("core:sample_start"), centre.alias("core:frequency"), F.col("start_time").alias("core:datetime"))
+    return captures.join(notes, "capture_id", "left").select("capture_id", F.to_json(F.struct(head.alias("global"), F.array(start).alias("captures"), F.coalesce("annotations", F.array().cast(kind)).alias("annotations"))).alias("meta"))
+
+
 def annotations(detections: DataFrame, sample_rate: float, center: float | None = None) -> DataFrame:
     """(capture_id, sample_start, sample_count, freq_lower_edge, freq_upper_edge) of detections (t0, t1, f_lo, f_hi)."""
     edge = lambda c: F.when(F.col("f_hi") > F.col("f_lo"), F.lit(center).cast("double") + F.col(c))

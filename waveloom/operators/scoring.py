@@ -26,16 +26,34 @@ def rule_label(snr: Column, flatness: Column, cp_ratio: Column, sweep_r2: Column
     )
 
 
-def blend(feature: DataFrame, window: DataFrame, snr: DataFrame) -> DataFrame:
-    """Blend of two voters' probabilities (id, label, p) by the band of snr (id, snr_db).
+def measured_accuracy(predictions: DataFrame) -> DataFrame:
+    """(model, band, accuracy, n) of validation rows (model, truth, predicted, snr_db): what `blend` takes as weights and a model is kept with."""
+    own = predictions.where("truth is not null").withColumn("band", snr_band(F.col("snr_db")))
+    return own.groupBy("model", "band").agg(F.avg(F.col("truth").eqNullSafe(F.col("predicted")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def band_weights(measured: DataFrame | None, spark, feature: str = "feature", window: str = "window") -> DataFrame:
+    """(band, wf, prior): the feature voter's weight in each of the three bands, its share of both measured accuracies; the prior where either is missing or both are 0."""
+    prior = spark.createDataFrame([(k, a) for k, (a, _) in PRIOR.items()], "band string, own double")
+    if measured is None:
+        return prior.select("band", F.col("own").alias("wf"), F.lit(True).alias("prior"))
+    of = lambda name: F.max(F.when(F.col("model") == name, F.col("accuracy")))
+    both = measured.groupBy("band").agg(of(feature).alias("a"), of(window).alias("b"))
+    share = F.when(F.col("a") + F.col("b") > 0, F.col("a") / (F.col("a") + F.col("b")))
+    return prior.join(both, "band", "left").select("band", F.coalesce(share, "own").alias("wf"), share.isNull().alias("prior"))
+
+
+def blend(feature: DataFrame, window: DataFrame, snr: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """Blend of two voters' probabilities (id, label, p) by the band of snr (id, snr_db), weighed by `measured` (model, band, accuracy) where it tells, else by the prior.
 
     (id, label, confidence, runner_up, agree): labels that one voter lacks count as 0 there;
     where the voters' first choices differ, the confidence is capped, and below `UNKNOWN_BELOW`
     the label is `unknown`. The runner-up of an unknown is its first candidate.
     """
     both = feature.select("id", "label", F.col("p").alias("pf")).join(window.select("id", "label", F.col("p").alias("pw")), ["id", "label"], "full_outer").fillna(0.0, ["pf", "pw"])
-    both = both.join(snr.select("id", snr_band(F.col("snr_db")).alias("band")), "id")
-    wf = F.when(F.col("band") == "low", PRIOR["low"][0]).when(F.col("band") == "mid", PRIOR["mid"][0]).otherwise(PRIOR["high"][0])
+    weights = band_weights(measured, feature.sparkSession).select("band", "wf")
+    both = both.join(snr.select("id", snr_band(F.col("snr_db")).alias("band")), "id").join(F.broadcast(weights), "band")  # three rows
+    wf = F.col("wf")
     per = Window.partitionBy("id")
     both = both.withColumn("p", wf * F.col("pf") + (1 - wf) * F.col("pw"))
     both = both.withColumn("p", F.when(F.sum("p").over(per) > 0, F.col("p") / F.sum("p").over(per)).otherwise(0.0))

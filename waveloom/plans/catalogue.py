@@ -630,4 +630,4 @@ def flagship(spark, d):
     return islands(spark, d)
 
 
-from waveloom.plans import conditioned, measures, recorded  # noqa: E402, F401  (registers their queries)
+from waveloom.plans import checked, conditioned, measures, recorded  # noqa: E402, F401  (registers their queries)
