@@ -2,7 +2,11 @@
 
 All of it is DataFrame expressions. Compared are every line, every block of lines (as a header that
 goes over several lines) and every text as a whole, if it has a word that licences are told by;
-words weigh by their rarity among all documents and templates, counted over all documents. A
+words weigh by their rarity among all documents and templates, counted over all documents. The
+words that licences are told by follow from the templates: by the inequality of Cauchy and Schwarz
+a text reaches the threshold with a template only if it has one of any set of its words beside
+which the others' squared parts add up to less than the threshold's square; the rarest such set is
+taken, so nothing is lost. An SPDX expression is read as such, and all its licences are named. A
 document that is a licence file (what matches is half of it or more) licenses its directory, and a
 document without a licence of its own takes that of the nearest ancestor directory that has one.
 """
@@ -19,6 +23,10 @@ from .common import sized, written
 
 #: Notices, standard headers and licence texts as authors write them into files; a licence may have several.
 TEMPLATES = {
+    "agpl-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
@@ -44,7 +52,14 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ),
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE",
-    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "lgpl-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    "lgpl-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
     "mit": (
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
@@ -53,19 +68,16 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
+    "unlicense": "This is free and unencumbered software released into the public domain.",
     "proprietary": ("All rights reserved", "All rights reserved. No part may be reproduced without permission"),
 }
 #: Identifiers that a line `SPDX-License-Identifier:` may name, by licence.
 SPDX = {
-    "apache-2.0": "Apache-2.0", "bsd-2-clause": "BSD-2-Clause", "bsd-3-clause": "BSD-3-Clause", "cc-by-4.0": "CC-BY-4.0", "cc-by-nc-4.0": "CC-BY-NC-4.0", "cc-by-sa-4.0": "CC-BY-SA-4.0", "cc0-1.0": "CC0-1.0",
-    "gpl-2.0": "GPL-2.0 GPL-2.0-only GPL-2.0-or-later", "gpl-3.0": "GPL-3.0 GPL-3.0-only GPL-3.0-or-later", "isc": "ISC", "lgpl-3.0": "LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later", "mit": "MIT", "mpl-2.0": "MPL-2.0",
+    "agpl-3.0": "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later", "apache-2.0": "Apache-2.0", "bsd-2-clause": "BSD-2-Clause", "bsd-3-clause": "BSD-3-Clause", "cc-by-4.0": "CC-BY-4.0", "cc-by-nc-4.0": "CC-BY-NC-4.0", "cc-by-sa-4.0": "CC-BY-SA-4.0", "cc0-1.0": "CC0-1.0",
+    "gpl-2.0": "GPL-2.0 GPL-2.0-only GPL-2.0-or-later", "gpl-3.0": "GPL-3.0 GPL-3.0-only GPL-3.0-or-later", "isc": "ISC", "lgpl-2.1": "LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later", "lgpl-3.0": "LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later", "mit": "MIT", "mpl-2.0": "MPL-2.0", "unlicense": "Unlicense",
 }
-#: Words that licences are told by; a line without one of them shares only common words with any template.
-TELLING = (
-    "2-clause 3-clause apache bsd by-nc by-sa cc cc0 clause commons contributors copyright creative dedication domain domains general gnu granted hereby lesser "
-    "license licensed licences licence licenses mit mozilla mpl noninfringement permission permitted redistribute redistribution redistributions released reproduced reserved "
-    "spdx-license-identifier sublicense universal warranties warranty"
-).split()
+#: What marks a line as an SPDX expression, and the expression.
+MARK = r"(?i)SPDX-License-Identifier:[\x20\t]*([A-Za-z0-9.+()\x20-]+)"
 WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 THRESHOLD, FILE_SHARE = 0.6, 0.5
 #: Directories with a licence that may be broadcast: names of some hundred bytes.
@@ -73,7 +85,28 @@ DIRECTORIES = 200_000
 
 
 def words(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
+    return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())
+
+
+def telling(forms: list[dict[str, float]], met: dict[str, int], threshold: float) -> list[str]:
+    """Words of which a text has one at least if its cosine to one of forms (parts of words, at unit length) is `threshold` or more: of each form the rarest that will do."""
+    out = set()
+    for parts in forms:
+        left = sum(p * p for p in parts.values())
+        for w in sorted(parts, key=lambda w: (met.get(w, 0), w)):
+            if left < (threshold - 1e-6) ** 2:
+                break
+            out.add(w)
+            left -= parts[w] ** 2
+    return sorted(out)
+
+
+def _named(expression):
+    """The licences of an SPDX expression, in its order and with its operators; NULL unless all are known."""
+    known = F.create_map(*[x for name, ids in SPDX.items() for i in ids.split() for x in (F.lit(i.lower()), F.lit(name))])
+    parts = F.filter(F.split(F.regexp_replace(F.trim(expression), r"[()]", " "), " +"), lambda x: x != "")
+    names = F.transform(parts, lambda x: F.when(F.upper(x).isin("AND", "OR", "WITH"), F.upper(x)).otherwise(known[F.lower(x)]))
+    return F.when((F.size(names) > 0) & ~F.exists(names, lambda x: x.isNull()), F.array_join(names, " "))
 
 
 def _units(text):
@@ -91,31 +124,36 @@ def scanned(files: DataFrame, threshold: float = THRESHOLD, file_share: float =
     licensed_by is the directory that the licence comes from. The best score of a line, block or
     the whole counts; ties go to the first licence by name. Null texts and paths count as empty,
     texts of any length are read whole; repeated rows are judged each; other columns
-    are ignored; an empty table gives no rows. Scores are rounded to six places.
+    are ignored; an empty table gives no rows. Scores are rounded to six places. A line that is an
+    SPDX expression of known licences names them all, as `mit OR apache-2.0`, at score 1.
     """
     spark = files.sparkSession
-    if templates is None:
-        templates = {name: (*([texts] if isinstance(texts, str) else texts), *(f"SPDX-License-Identifier: {x}" for x in SPDX.get(name, "").split())) for name, texts in TEMPLATES.items()}
+    known = templates is None
+    if known:
+        templates = TEMPLATES
     notices = [(name, words(t)) for name, texts in sorted(templates.items()) for t in ([texts] if isinstance(texts, str) else texts)]
     files = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     vocabulary = sorted({w for _, t in notices for w in t})
-    told = F.lit(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, TELLING)) + r")(?![\p{L}\p{N}])")
+    total = files.count()
+    own = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), lambda w: w.isin(vocabulary)))
+    held = {r["word"]: r["met"] for r in files.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("met")).collect()}  # a row per word of the templates
+    weight = {w: math.log((1 + total + len(notices)) / (1 + held.get(w, 0) + sum(w in t for _, t in notices))) + 1 for w in vocabulary}
+    rows, forms = [], []
+    for form, (name, own) in enumerate(notices):
+        norm = math.sqrt(sum((own.count(w) * weight[w]) ** 2 for w in set(own)))
+        forms.append({w: own.count(w) * weight[w] / norm for w in sorted(set(own))})
+        rows += [(form, name, w, part) for w, part in forms[-1].items()]
+    signs = telling(forms, held, threshold) + (["spdx-license-identifier"] if known else [])
+    told = F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, signs)) + r")(?![\p{L}\p{N}])")
     units = files.where(F.regexp_like("text", told)).select("doc_id", F.xxhash64("path", "text").alias("version"), F.explode(_units(F.col("text"))).alias("u")).select("doc_id", "version", "u.*").where(F.regexp_like("unit", told))
-    tokens = units.select("doc_id", "version", "kind", "size", F.regexp_extract_all(F.lower("unit"), F.lit(WORD), F.lit(0)).alias("words"))
+    tokens = units.select("doc_id", "version", "kind", "size", F.regexp_extract_all(F.lower("unit"), F.lit(WORD), F.lit(0)).alias("words"), *([_named(F.nullif(F.regexp_extract("unit", MARK, 1), F.lit(""))).alias("said")] if known else [F.lit(None).cast("string").alias("said")]))
     tokens = written(tokens.where(F.size("words") > 0).withColumn("unit", F.xxhash64("words")), "units")
-    total = files.count()
     distinct = tokens.groupBy("unit").agg(F.any_value("words").alias("words"))
     counted = written(distinct.select("unit", F.explode("words").alias("word")).groupBy("unit", "word").agg(F.count("*").alias("n")), "counted")
     ours = spark.createDataFrame([(w, sum(w in t for _, t in notices)) for w in vocabulary], "word string, forms long")
     wanted = counted.select("word").union(ours.select("word")).distinct()
     holders = files.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word")).groupBy("word").agg(F.count("*").alias("met"))
     holders = written(holders.join(wanted, "word", "left_semi"), "holders")
-    held = {r["word"]: r["met"] for r in holders.join(F.broadcast(ours), "word", "left_semi").collect()}  # a row per word of the templates
-    weight = {w: math.log((1 + total + len(notices)) / (1 + held.get(w, 0) + sum(w in t for _, t in notices))) + 1 for w in vocabulary}
-    rows = []
-    for form, (name, own) in enumerate(notices):
-        norm = math.sqrt(sum((own.count(w) * weight[w]) ** 2 for w in set(own)))
-        rows += [(form, name, w, own.count(w) * weight[w] / norm) for w in sorted(set(own))]
     table = spark.createDataFrame(rows, "form int, licence string, word string, part double")
     rarity = F.log(F.lit(float(1 + total + len(notices))) / (1 + F.col("met") + F.coalesce("forms", F.lit(0)))) + 1
     counted = counted.join(holders, "word").join(F.broadcast(ours), "word", "left").select("unit", "word", (F.col("n") * rarity).alias("x"))  # the templates are a fixed table
@@ -126,7 +164,9 @@ def scanned(files: DataFrame, threshold: float = THRESHOLD, file_share: float =
     best = best.select("unit", F.col("x.licence").alias("licence"), (-F.col("x.s")).alias("score"))
     # what matches of a text: its lines together, or its blocks, or the whole
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("size")).otherwise(0))
-    found = tokens.join(best, "unit").groupBy("doc_id", "version").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("x"), F.greatest(part(0), part(1), part(2)).alias("inside"))
+    said = tokens.where("kind = 0 and said is not null").select("doc_id", "version", "kind", "size", F.col("said").alias("licence"), F.lit(1.0).alias("score"))
+    hits = tokens.where("kind <> 0 or said is null").join(best, "unit").select("doc_id", "version", "kind", "size", "licence", "score").union(said)
+    found = hits.groupBy("doc_id", "version").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("x"), F.greatest(part(0), part(1), part(2)).alias("inside"))
     found = sized(written(found.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), F.col("x.licence").alias("own"), (-F.col("x.s")).alias("score"), "inside"), "found"))
     rows = files.select("doc_id", "path", F.length("text").alias("size"), F.xxhash64("path", "text").alias("version"))  # texts themselves are never dealt out
     judged = rows.join(found, rows["doc_id"].eqNullSafe(found["_d"]) & (rows["version"] == found["_v"]), "left")
