@@ -42,6 +42,8 @@ UNLIKE = (
 WHITE = "\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Pieces of text whose ids a worker remembers.
 REMEMBER = 300_000
+#: Bytes of text that are encoded at once, if a batch has more.
+SLICE = 1 << 23
 
 
 def _need(ids: np.ndarray) -> np.ndarray:
@@ -396,7 +398,7 @@ def unpack(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def encoded(docs: DataFrame, path: str, end: int = 0, special: bool = False) -> DataFrame:
     """(doc_id, n_tokens, payload) for each row of docs (doc_id, text, ...).
 
-    Null texts count as empty; long texts are encoded whole, and a task works on about a megabyte of
+    Null texts count as empty; long texts are encoded whole, and a task works on at most SLICE bytes of
     text at once beside what it remembers. Null and repeated ids and repeated rows have a payload
     each; other columns are ignored, and an empty table gives no rows.
     """
@@ -406,7 +408,7 @@ def encoded(docs: DataFrame, path: str, end: int = 0, special: bool = False) ->
 
     def run(batches):
         encoder = _encoder(path, special)
-        for b, texts in chain.from_iterable(text_slices(b, b.column("text")) for b in batches):
+        for b, texts in chain.from_iterable(text_slices(b, b.column("text"), SLICE) for b in batches):
             ids, bounds = encoder.encode(texts, end)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds)), pa.array(pack(ids, bounds), pa.binary())], ["doc_id", "n_tokens", "payload"])
 
