@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` where it is set, else a folder of the warehouse; never a machine's own temporary folder."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    """`spark.checkpoint.dir` where it is set, else a folder of the warehouse; never a machine's own folder.
+
+    A warehouse under `file:` is one machine's unless the master is local, so on a cluster it is refused.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given
+    house = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if house.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share: {house} is on one machine")
+    return house + "/_scratch"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
