@@ -144,8 +144,8 @@ def scanned(files: DataFrame, threshold: float = THRESHOLD, file_share: float =
         forms.append({w: own.count(w) * weight[w] / norm for w in sorted(set(own))})
         rows += [(form, name, w, part) for w, part in forms[-1].items()]
     signs = telling(forms, held, threshold) + (["spdx-license-identifier"] if known else [])
-    told = F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, signs)) + r")(?![\p{L}\p{N}])")
-    units = files.where(F.regexp_like("text", told)).select("doc_id", F.xxhash64("path", "text").alias("version"), F.explode(_units(F.col("text"))).alias("u")).select("doc_id", "version", "u.*").where(F.regexp_like("unit", told))
+    told = F.lit(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, signs)) + r")(?![\p{L}\p{N}])")
+    units = files.where(F.regexp_like(F.lower("text"), told)).select("doc_id", F.xxhash64("path", "text").alias("version"), F.explode(_units(F.col("text"))).alias("u")).select("doc_id", "version", "u.*").where(F.regexp_like(F.lower("unit"), told))
     tokens = units.select("doc_id", "version", "kind", "size", F.regexp_extract_all(F.lower("unit"), F.lit(WORD), F.lit(0)).alias("words"), *([_named(F.nullif(F.regexp_extract("unit", MARK, 1), F.lit(""))).alias("said")] if known else [F.lit(None).cast("string").alias("said")]))
     tokens = written(tokens.where(F.size("words") > 0).withColumn("unit", F.xxhash64("words")), "units")
     distinct = tokens.groupBy("unit").agg(F.any_value("words").alias("words"))
