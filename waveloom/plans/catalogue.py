@@ -38,8 +38,10 @@ def _iq(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Every double rounded once; -0.0 becomes 0.0."""
-    return df.select(*[(F.round(c, places) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+    """Every double rounded once, as a multiple of 10 ** -places like the SQL's; -0.0 becomes 0.0."""
+    by = 10.0**places
+    each = lambda c: F.when(F.abs(F.col(c) * by) < float("inf"), F.round(F.col(c) * by) / by).otherwise(F.col(c)) + 0.0
+    return df.select(*[each(c).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
 IQ = "iq AS (SELECT vec_id AS capture_id, n, embedding[2 * n + 1]::DOUBLE AS i, embedding[2 * n + 2]::DOUBLE AS q FROM embeddings, unnest(range(0, len(embedding) // 2)) AS u(n))"
