@@ -23,3 +23,12 @@ def test_memory_of_a_worker_does_not_grow_with_a_partitions_rows(spark):
     used = estimators._arrays(own, "capture_id long", ["x"], each).select("capture_id", F.get("v", F.lit(0)).alias("mb")).collect()
     assert len({r["capture_id"] for r in used}) == 600
     assert max(r["mb"] for r in used) - min(r["mb"] for r in used) < 200
+
+
+def test_reports_are_read_once_for_their_check(spark):
+    from waveloom.operators import reports
+
+    own = spark.createDataFrame([(1, '{"a":{"b":[1,{"c":2}]},"d":null}'), (2, "no")], "capture_id long, report string")
+    assert sorted(r["place"] for r in reports.nodes(own).where("capture_id = 1").collect()) == ["report", "report.a", "report.a.b", "report.a.b[0]", "report.a.b[1]", "report.a.b[1].c", "report.d"]
+    plan = reports.report_faults(own)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan

@@ -57,15 +57,12 @@ def nodes(reports: DataFrame, depth: int = 4) -> DataFrame:
     place is the path with the numbers of list places, path the same with [] for them; kind is
     object, list, text, number, truth or null, and `not JSON` of a report that can't be read.
     """
-    spark = reports.sparkSession
-    tops = reports.select("capture_id", F.lit("report").alias("path"), F.lit("report").alias("place"), F.try_parse_json("report").alias("v"), F.lit(True).alias("top"))
-    level, out = tops, tops
+    # a level adds the children of what the one before has added: each report is read and parsed once
+    out = reports.select("capture_id", F.lit("report").alias("path"), F.lit("report").alias("place"), F.try_parse_json("report").alias("v"), F.lit(True).alias("new"))
+    named = "transform(map_entries(try_variant_get(v, '$', 'map<string,variant>')), e -> struct(path || '.' || e.key as path, place || '.' || e.key as place, e.value as v, true as new))"
+    listed = "transform(try_variant_get(v, '$', 'array<variant>'), (x, k) -> struct(path || '[]' as path, place || '[' || k || ']' as place, x as v, true as new))"
     for _ in range(depth):
-        level = spark.sql(
-            "SELECT capture_id, path || CASE WHEN key IS NULL THEN '[]' ELSE '.' || key END AS path, place || CASE WHEN key IS NULL THEN '[' || pos || ']' ELSE '.' || key END AS place, value AS v, false AS top FROM {level}, LATERAL variant_explode(v)",
-            level=level,
-        )
-        out = out.union(level)
+        out = out.select("capture_id", F.expr(f"inline(concat(array(struct(path, place, v, false as new)), coalesce(if(new, coalesce({named}, {listed}), null), array())))"))
     form = F.schema_of_variant("v")
     kind = F.when(F.col("v").isNull(), "not JSON").when(F.is_variant_null("v"), "null").when(form.startswith("OBJECT"), "object").when(form.startswith("ARRAY"), "list").when(form == "STRING", "text").when(form == "BOOLEAN", "truth").otherwise("number")
     text = F.to_json("v")
@@ -92,9 +89,10 @@ def report_faults(reports: DataFrame) -> DataFrame:
         .when((F.col("path") == "report.detections[].modulation.evidence") & (F.col("size") < 2), "under two sentences")
         .when((F.col("path") == "report.schema_version") & ~((F.col("kind") == "text") & (F.col("value") == SCHEMA_VERSION)), "another version")
     )
-    own = all_.select("capture_id", "place", fault.alias("fault")).where("fault is not null")
-    named = lambda a, b, said: all_.where(want.isNotNull() & (F.col("kind") == "object")).select("capture_id", "place", F.explode(F.array_except(a, b)).alias("k")).select("capture_id", "place", F.concat(F.lit(f"{said} "), "k").alias("fault"))
-    return own.union(named(want, F.col("keys"), "missing")).union(named(F.col("keys"), want, "unexpected"))
+    others = lambda a, b, said: F.when(want.isNotNull() & (F.col("kind") == "object"), F.transform(F.array_except(a, b), lambda k: F.concat(F.lit(f"{said} "), k)))
+    none = F.array().cast("array<string>")
+    each = F.concat(F.array(fault), *[F.coalesce(others(*x), none) for x in ((want, F.col("keys"), "missing"), (F.col("keys"), want, "unexpected"))])
+    return all_.select("capture_id", "place", F.explode(each).alias("fault")).where("fault is not null")
 
 
 def meta_documents(detections: DataFrame, captures: DataFrame) -> DataFrame:
