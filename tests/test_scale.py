@@ -32,3 +32,15 @@ def test_reports_are_read_once_for_their_check(spark):
     assert sorted(r["place"] for r in reports.nodes(own).where("capture_id = 1").collect()) == ["report", "report.a", "report.a.b", "report.a.b[0]", "report.a.b[1]", "report.a.b[1].c", "report.d"]
     plan = reports.report_faults(own)._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    from waveloom.sources import byteranges
+
+    for k in range(600):
+        np.full(40, k, "<f4").tofile(tmp_path / f"a{k}.cf32")
+    byteranges.register(spark)
+    own = spark.read.format("captures").option("size", 15).option("partitionBytes", 100).load(str(tmp_path))
+    assert own.rdd.getNumPartitions() <= 2 * byteranges.TASKS
+    got = own.select("path", "block", F.get("i", F.lit(0)).alias("v")).collect()
+    assert len(got) == 1200 and len({(r["path"], r["block"]) for r in got}) == 1200 and {r["v"] for r in got} == set(map(float, range(600)))
