@@ -183,6 +183,48 @@ def test_repeated_passages(docs, rows, empty, group):
     assert repeated(empty).count() == 0
 
 
+def shuffled(spark, action):
+    """What action returns, and the bytes that its stages write to shuffles."""
+    sc, gateway = spark._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    before = max(stages(), default=-1)
+    return action(), sum(size for k, size in stages().items() if k > before)
+
+
+def test_repeated_passages_move_little(spark):
+    from waveloom.llm.suffix import repeated
+
+    rng = random.Random(6)
+    shared = [prose(rng, 12) for _ in range(300)]
+    texts = [" ".join(rng.choice(shared)[rng.randrange(40) :] if rng.random() < 0.3 else prose(rng, 10) for _ in range(rng.randrange(5, 60))) for _ in range(600)]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        own = [t[k : k + 50] for k in range(len(t) - 49)]
+        gone = np.zeros(len(t), bool)
+        for k, s in enumerate(own):
+            if s in seen:
+                gone[k : k + 50] = True
+        seen.update(own)
+        want[i * 7] = int(gone.sum())
+    docs = spark.createDataFrame([(i * 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got, moved = shuffled(spark, lambda: {r["doc_id"]: r["n_removed"] for r in repeated(docs, group=1 << 19).collect()})
+    assert got == want and sum(want.values()) > 100_000
+    assert moved < 3.2 * sum(map(len, texts))
+
+
+def test_hashes_travel_as_steps():
+    from waveloom.llm.suffix import _stepped, _unstepped
+
+    for h in ([0], [2**64 - 1], [0, 0, 1, 2**48 - 1, 2**48, 2**63, 2**64 - 1, 2**64 - 1], np.sort(np.random.default_rng(1).integers(0, 2**64, 5000, np.uint64))):
+        h = np.array(h, np.uint64)
+        assert (_unstepped(_stepped(h)) == h).all()
+
+
 def reach(n, links):
     label = list(range(n))
     changed = True
